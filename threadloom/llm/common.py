@@ -93,6 +93,50 @@ def pieces(offsets: np.ndarray, most: int):
         first = last
 
 
+BLOOM_BITS = 24
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rot(x, r: int):
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _end(h):
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def xx_long(keys: np.ndarray, seed: int) -> np.ndarray:
+    """What Spark's xxhash64(int seed, long key) gives, for an array of keys."""
+    with np.errstate(over="ignore"):
+        h = np.uint64(42) + _P[4] + np.uint64(4)
+        h ^= np.uint64(seed) * _P[0]
+        h = _end(_rot(h, 23) * _P[1] + _P[2])
+        h = np.full(len(keys), h + _P[4] + np.uint64(8), np.uint64)
+        h ^= _rot(keys.astype(np.int64).view(np.uint64) * _P[1], 31) * _P[0]
+        return _end(_rot(h, 27) * _P[0] + _P[3]).view(np.int64)
+
+
+def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of fixed size, with three probes, over the long column `key`; only its words come to the driver."""
+    probes = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(s), "key"), F.lit(1 << bits)) for s in range(3)]))
+    words = keys.select(probes.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toPandas()
+    out[got["w"].to_numpy()] = got["v"].to_numpy()
+    return out
+
+
+def in_bloom(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter may hold."""
+    hit = np.ones(len(keys), bool)
+    for s in range(3):
+        p = xx_long(keys, s) % (len(words) * 64)
+        hit &= (words[p >> 6] >> (p & 63)) & 1 == 1
+    return hit
+
+
 def numbered(df: DataFrame, n: str, to: str) -> DataFrame:
     """Each row as often as its column n says, numbered from 0, in steps that keep every array short."""
     step = 4096

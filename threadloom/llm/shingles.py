@@ -24,13 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, mix64, pieces, text_bytes, written
+from .common import bloom, components, in_bloom, mix64, pieces, text_bytes, written
 
 N = 5
 #: The threshold as a fraction of whole numbers, 90 / 100 of the union.
 NUM, DEN = 9, 10
 SKETCH_BITS = 22
-BLOOM_BITS = 24
 #: Bytes of text that are worked on at once.
 BLOCK = 2_000_000
 #: Pairs that one cell of a hub's grid verifies, about.
@@ -227,16 +226,6 @@ def candidates(rows: DataFrame) -> DataFrame:
     return pairs.where(f"{both} and {bound}").select("a", "b", "na", "nb").distinct()
 
 
-def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of fixed size over the long column `key`, with three probes."""
-    probes = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(s), "key"), F.lit(1 << bits)) for s in range(3)]))
-    words = keys.select(probes.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toPandas()
-    out[got["w"].to_numpy()] = got["v"].to_numpy()
-    return out
-
-
 def _suffix_and_exact(x, y, cx, cy, nx: int, ny: int) -> bool:
     """Whether DEN * |x & y| >= NUM * |x | y|: first by the suffix filter, then exactly."""
     need = -(-NUM * (nx + ny) // (NUM + DEN))
@@ -266,9 +255,11 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
         bits, seen = filter_.value, set()
         for _, sets in _sets(batches, 0, n):
+            some = [(class_of(got), got) for _, got in sets if len(got)]
+            hit = in_bloom(bits, np.array([c for c, _ in some], np.int64))
             ids, raws = [], []
-            for _, got in sets:
-                if len(got) and (c := class_of(got)) not in seen and _in_bloom(bits, c):
+            for (c, got), yes in zip(some, hit):
+                if yes and c not in seen:
                     seen.add(c)
                     ids.append(c)
                     raws.append(got.tobytes())
@@ -304,47 +295,6 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(check, "a long, b long")
 
 
-def _in_bloom(bits: np.ndarray, key: int) -> bool:
-    size = len(bits) * 64
-    return all((int(bits[(p := _xx(key, s) % size) >> 6]) >> (p & 63)) & 1 for s in range(3))
-
-
-def _xx(key: int, seed: int) -> int:
-    """What Spark's xxhash64(int seed, long key) gives."""
-    h = _xx_int(seed & 0xFFFFFFFF, 42)
-    return _signed(_xx_long(key & _M, h))
-
-
-_M = (1 << 64) - 1
-_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _rot(x: int, r: int) -> int:
-    return ((x << r) | (x >> (64 - r))) & _M
-
-
-def _end(h: int) -> int:
-    h = ((h ^ (h >> 33)) * _P2) & _M
-    h = ((h ^ (h >> 29)) * _P3) & _M
-    return h ^ (h >> 32)
-
-
-def _xx_int(x: int, seed: int) -> int:
-    h = (seed + _P5 + 4) & _M
-    h ^= (x * _P1) & _M
-    return _end((_rot(h, 23) * _P2 + _P3) & _M)
-
-
-def _xx_long(x: int, seed: int) -> int:
-    h = (seed + _P5 + 8) & _M
-    h ^= (_rot((x * _P2) & _M, 31) * _P1) & _M
-    return _end((_rot(h, 27) * _P1 + _P4) & _M)
-
-
 def similar(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
     """For docs(doc_id, text): doc_id, n_shingles, class, n_similar and component_id of every row."""
     spark = docs.sparkSession
