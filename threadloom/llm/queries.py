@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, shingles, suffixes
+from . import mixing, packing, shingles, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_mix": mixing.op2_mix,
         "op5_pack": packing.op5_pack,
         "op6_jaccard": shingles.op6_jaccard,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_suffixes": suffixes.op10_suffixes,
     }
 
