@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, shingles, suffixes, toxicity
+from . import mixing, packing, pii, shingles, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_pack": packing.op5_pack,
         "op6_jaccard": shingles.op6_jaccard,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_pii": pii.op8_pii,
         "op10_suffixes": suffixes.op10_suffixes,
     }
 
