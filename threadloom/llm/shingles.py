@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom, components, in_bloom, mix64, pieces, text_bytes, written
+from .common import WORD, bloom, components, in_bloom, mix64, pieces, text_bytes, written
 
 N = 5
 #: The threshold as a fraction of whole numbers, 90 / 100 of the union.
@@ -318,6 +318,25 @@ def similar(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
     return out.unionByName(alone)
 
 
+def deduplicated(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
+    """docs (with doc_id and text) without near-duplicates: of each component the row with the least doc_id stays, of equal rows one.
+
+    Texts without words are linked with nothing and all stay; null doc_ids come after all others.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    found = written(similar(keyed.select(F.col("_key").alias("doc_id"), "text"), n, bits), "similar")
+    ids = keyed.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("order"))
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
+    kept = groups.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order._key").alias("_key"))
+    kept = kept.unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("_key")).distinct())
+    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = keyed.join(written(kept, "kept"), "_key", "left_semi")
+    if not twice:
+        blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+        rows = rows.where(~blank).dropDuplicates(["_key"]).unionByName(rows.where(blank))
+    return rows.select(*docs.columns)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return similar(docs).select("doc_id", "n_shingles", "n_similar", "component_id")
