@@ -23,14 +23,15 @@ def pack(groups: DataFrame, target: int = TARGET, overflow: int = OVERFLOW, per:
     first reduced, in ranges of stems, to those that open a batch for each possible fill at the range's begin, so
     ranges are folded in parallel and chained through a table of target + overflow + 1 states a range.
     """
+    from ..plans.tables import kept
+
     cap = target + overflow
+    groups = kept(groups)
     total = groups.count()
     ranges = max(1, -(-total // per))
     dealt = groups.select("stem", F.col("n").cast("int").alias("n")).repartitionByRange(ranges, "stem").sortWithinPartitions("stem")
     dealt = dealt.withColumn("range", F.spark_partition_id())
     if ranges > 1:
-        from ..plans.tables import kept
-
         dealt = kept(dealt).repartition(ranges, "range").sortWithinPartitions("range", "stem")
 
     def fold(count: int, sizes, out=None):

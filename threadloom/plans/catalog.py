@@ -399,7 +399,7 @@ _BATCHES = (f"{_ALL}, {_PARTS}, {_GROUPS}, {_FOLD}").replace("WITH ", "WITH RECU
 
 def _packed(spark, sf_dir):
     groups = batches.group_by_stem(_split(spark, sf_dir).select("file_name"))
-    return batches.pack(groups, 2, 1, per=30)
+    return batches.pack(groups, 2, 1)
 
 
 @query(f"{_BATCHES} SELECT stem, n, batch_no FROM RECUR JOIN od USING (k)")
