@@ -16,8 +16,7 @@ Connected components are distributed.
 Cases: vectors that are null or hold null or non-finite components take no part (nor, for cosine, do zero ones):
 in top-k they have no rows, among near-duplicates they are their own component without links. Only vectors of one
 length meet. Rows with a null vec_id are neither queries nor candidates; among near-duplicates they count as links.
-Rows of one vec_id are the same vector to top-k, so never each other's result, and equal rows of a query give one
-result. Empty tables give empty tables; other columns are ignored.
+Rows of one vec_id count once in top-k, with the least of their vectors. Empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,10 +90,10 @@ class Best:
         who = np.concatenate((self.found[rows], np.broadcast_to(ids[cols], (len(rows), len(cols)))), axis=1)
         edge = np.partition(s, -self.k, axis=1)[:, -self.k]
         i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+        if not len(i):
+            return
         order = np.lexsort((who[i, j], -s[i, j], i))
         i, j = i[order], j[order]
-        new = np.concatenate(([True], (i[1:] != i[:-1]) | (who[i, j][1:] != who[i, j][:-1])))
-        i, j = i[new], j[new]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         keep = place < self.k
         i, j, place = i[keep], j[keep], place[keep]
@@ -105,8 +104,8 @@ class Best:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) from vectors(vec_id, v array<long>) and queries(vec_id, v)."""
-    vectors = written(vectors.withColumn("dim", F.size("v")), "vectors")
-    queries = written(queries.withColumn("dim", F.size("v")).dropDuplicates(["vec_id"]), "queries")
+    one = lambda df: df.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    vectors, queries = written(one(vectors), "vectors"), written(one(queries), "queries")
     n, nq = vectors.count(), queries.count()
     across = max(1, -(-n // min(65536, max(2048, n // 64))))
     down = max(1, -(-nq // QUERIES))
