@@ -61,12 +61,12 @@ def without_unsupported(c) -> Column:
 
 
 def count_block_math(c) -> Column:
-    return F.regexp_count(c, F.lit(r"(?s)\$\$.+?\$\$")).cast("long")
+    return F.regexp_count(c, F.lit(r"(?s)[$]{2}.+?[$]{2}")).cast("long")
 
 
 def math_to_code(c) -> Column:
     """`$$ x $$` as inline code, its content stripped."""
-    marked = replace(c, r"(?s)\$\$(.+?)\$\$", _OPEN + "$1" + _CLOSE)
+    marked = replace(c, r"(?s)[$]{2}(.+?)[$]{2}", _OPEN + "$1" + _CLOSE)
     return replace(replace(marked, f"{_OPEN}[{SPACE}]*", "`"), f"[{SPACE}]*{_CLOSE}", "`")
 
 

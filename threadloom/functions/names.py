@@ -64,7 +64,7 @@ def stem_of(name) -> Column:
 
 
 def is_legacy(name) -> Column:
-    return stem_of(name).rlike(r"\A\p{Nd}{4}_[0-9a-f\-]{8,}\z")
+    return stem_of(name).rlike(r"\A\p{Nd}{4}_[\-a-f0-9]{8,}\z")
 
 
 def numbered_stem(ord_, uuid) -> Column:

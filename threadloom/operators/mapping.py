@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import numbered_stem, readable_stem, short_id, stem_of
 
-COLUMNS = ["conv_id", "title", "created_at", "old_filename", "new_filename"]
+COLUMNS = "conv_id title created_at old_filename new_filename".split()
 
 
 def resolved(rows: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def upserted(old: DataFrame, changed: DataFrame, current: DataFrame) -> DataFram
     old(ord, mapping columns), changed(conv_ord, mapping columns), current(conv_ord, uuid). `place` orders the result: current
     conversations first, then the rows of others as before. Ids are compared whole.
     """
-    last = old.where("conv_id <> ''").groupBy("conv_id").agg(F.max_by(F.struct("title", "created_at", "old_filename", "new_filename"), "ord").alias("o"), F.min("ord").alias("ord"))
-    new = changed.where("conv_id <> ''").groupBy("conv_id").agg(F.max_by(F.struct("title", "created_at", "old_filename", "new_filename"), "conv_ord").alias("c"))
+    last = old.where("conv_id <> ''").groupBy("conv_id").agg(F.max_by(F.struct(*COLUMNS[1:]), "ord").alias("o"), F.min("ord").alias("ord"))
+    new = changed.where("conv_id <> ''").groupBy("conv_id").agg(F.max_by(F.struct(*COLUMNS[1:]), "conv_ord").alias("c"))
     both = last.join(new, "conv_id", "full_outer")
     at = current.where("uuid <> ''").groupBy(F.col("uuid").alias("conv_id")).agg(F.min("conv_ord").alias("conv_ord"))
     rows = both.join(at, "conv_id", "left").withColumn("r", F.coalesce("c", "o"))

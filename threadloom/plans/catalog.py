@@ -62,7 +62,7 @@ _PAIRS = """t AS (SELECT *, sum(CASE sender WHEN 'human' THEN 1 ELSE 0 END) OVER
 p AS (SELECT conv_id, turn, min_by(text, idx) FILTER (sender = 'human') AS prompt, min_by(text, idx) FILTER (sender = 'assistant') AS completion FROM t WHERE turn > 0 GROUP BY ALL)"""
 _DEDUPED = f"""d AS (SELECT conv_id, turn, prompt, completion FROM p WHERE {_STRIP.format("coalesce(prompt, '')")} <> '' OR {_STRIP.format("coalesce(completion, '')")} <> ''
 QUALIFY row_number() OVER (PARTITION BY conv_id, {_STRIP.format("coalesce(prompt, '')")}, {_STRIP.format("coalesce(completion, '')")} ORDER BY turn) = 1)"""
-_LABELLED = r"""own AS (SELECT *, nullif(regexp_extract(prompt, '(?i)pcp_(\d{3}(?:_\d{3})*)', 1), '') AS o FROM d),
+_LABELLED = r"""own AS (SELECT *, nullif(regexp_extract(prompt, '(?i)pcp_((?:\d{3}_)*\d{3})', 1), '') AS o FROM d),
 l AS (SELECT conv_id, turn, prompt, completion, coalesce(o, printf('%03d', (sum(CASE WHEN o IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1)::BIGINT)) AS label FROM own)"""
 _RSTRIP = r"regexp_replace({}, '\s+$', '')"
 _RENDERED = f"""b AS (SELECT conv_id, string_agg('## pcp_' || label || chr(10) || chr(10) || '**A Prompt by User**' || chr(10) || chr(10) || {_RSTRIP.format("coalesce(prompt, '')")} || chr(10) || chr(10) || '**A Completion by LLM**' || chr(10) || chr(10) || {_RSTRIP.format("coalesce(completion, '')")} || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY turn) AS body FROM l GROUP BY conv_id),
@@ -290,7 +290,7 @@ def readable_names(spark, sf_dir):
 _FILE_NAMES = "SELECT conv_id, concat(CASE conv_id % 3 WHEN 0 THEN concat('0012_0a1b2c3d-', cast(conv_id AS string)) WHEN 1 THEN '2025-01-02__t__0a1b2c3d' ELSE '0012_0a1b2c' END, '.md') AS file_name FROM conversations GROUP BY conv_id"
 
 
-@query(rf"WITH t AS ({_FILE_NAMES}) SELECT conv_id, regexp_matches(regexp_replace(file_name, '\.[^.]*$', ''), '^\d{{4}}_[0-9a-f\-]{{8,}}$') AS legacy FROM t")
+@query(rf"WITH t AS ({_FILE_NAMES}) SELECT conv_id, regexp_matches(regexp_replace(file_name, '\.[^.]*$', ''), '^[0-9]{{4}}_[\-a-f0-9]{{8,}}$') AS legacy FROM t")
 def legacy_names(spark, sf_dir):
     return _view(spark, sf_dir, _FILE_NAMES).select("conv_id", names.is_legacy("file_name").alias("legacy"))
 
@@ -321,7 +321,7 @@ def mapping_upsert(spark, sf_dir):
     old = rows.where("conv_ord % 3 <> 0").withColumnRenamed("conv_ord", "ord")
     new = rows.where("conv_ord % 2 = 0").withColumn("title", F.concat(F.lit("new "), "title"))
     current = rows.where("conv_ord % 5 <> 0").select("conv_ord", F.col("conv_id").alias("uuid"))
-    return mapping.upserted(old, new, current).select("conv_id", "title", "created_at", "old_filename", "new_filename", F.col("place.orphan").alias("orphan"))
+    return mapping.upserted(old, new, current).select(*mapping.COLUMNS, F.col("place.orphan").alias("orphan"))
 
 
 _STALE = "f AS (SELECT new_filename AS file_name FROM mp UNION ALL SELECT 'old__' || {0} || '.md' FROM mp WHERE ord % 6 = 1)".format(_SHORT.format("conv_id"))
@@ -336,7 +336,7 @@ def stale_names(spark, sf_dir):
     return mapping.stale(rows.select(F.col("new_filename").alias("file_name")).unionByName(more), changed.select(F.col("conv_id").alias("uuid"), "new_filename"))
 
 
-_BOUND = r"'^(?:#{1,6}[ \t]+|- )pcp_(\d{3}(?:_\d{3})*)\s*$'"
+_BOUND = r"'^(?:- |#+[ \t]+)pcp_((?:\d{3}_)*\d{3})\s*$'"
 _BLOCKS = rf"""{_lines("md0", "conv_id", "md")}, bl AS (SELECT *, nullif(regexp_extract(x, {_BOUND}, 1), '') AS lb FROM ln),
 bk AS (SELECT *, sum((lb IS NOT NULL)::INT) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS blk FROM bl)"""
 
@@ -372,7 +372,7 @@ def part_names(spark, sf_dir):
     return _split(spark, sf_dir).select("conv_id", "part", "file_name")
 
 
-_ORIG = r"coalesce(nullif(regexp_extract(regexp_replace({0}, '\.[^./]*$', ''), '^(.+?)__part\d+_pcp\d+-\d+$', 1), ''), regexp_replace({0}, '\.[^./]*$', ''))"
+_ORIG = r"coalesce(nullif(regexp_extract(regexp_replace({0}, '\.[^./]*$', ''), '^(.+?)__part[0-9]+_pcp[0-9]+-[0-9]+$', 1), ''), regexp_replace({0}, '\.[^./]*$', ''))"
 
 
 @query(f"{_ALL}, {_PARTS} SELECT file_name, {_ORIG.format('file_name')} AS stem FROM sp")
