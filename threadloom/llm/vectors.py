@@ -171,6 +171,23 @@ def plan_of(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[i
     return bits, math.ceil(math.log(miss) / math.log(1 - hit))
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Vectors as bytes, scaled by a power of two: in four bytes a component where that loses nothing, else in eight."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    small = (x.astype(np.float32) == x).all(1)
+    return [b"4" + r.astype("<f4").tobytes() if s else b"8" + r.astype("<f8").tobytes() for r, s in zip(x, small.tolist())]
+
+
+def _unpacked(raws: list[bytes]) -> np.ndarray:
+    """The vectors in doubles, of length 1."""
+    kinds = {raw[:1] for raw in raws}
+    if len(kinds) == 1:
+        x = np.frombuffer(b"".join(raw[1:] for raw in raws), "<f4" if kinds == {b"4"} else "<f8").reshape(len(raws), -1).astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(raw[1:], "<f" + raw[:1].decode()).astype(np.float64) for raw in raws])
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def near_pairs(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """Pairs (a, b) of ids, a < b, with a cosine of at least `threshold`, from n vectors(id long, v array<double>)."""
     bits, tables = plan_of(n, threshold, miss)
@@ -186,19 +203,20 @@ def near_pairs(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: f
                 at = np.flatnonzero(sizes == dim)
                 part = batch.take(pa.array(at))
                 x = _matrix(part.column(1), dim)
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(SEED + dim).normal(size=(dim, bits * tables))
                 up = (x @ planes[dim] > 0).reshape(len(x), tables, bits)
                 code = up @ (1 << np.arange(bits, dtype=np.int64))
-                raw = pa.array([r.tobytes() for r in x / np.linalg.norm(x, axis=1, keepdims=True)], pa.binary())
+                raw = pa.array(_packed(x), pa.binary())
                 for t in range(tables):
                     bucket = (code[:, t] << 8) * 1_000_003 + t * 7_919 + dim * 104_729
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[at]), raw], ["bucket", "id", "raw"])
 
-    scaled = vectors.select("id", F.expr("transform(v, x -> x / array_max(transform(v, y -> abs(y))))").alias("v"))
-    rows = scaled.mapInArrow(sign, "bucket long, id long, raw binary")
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("g", F.ceil(F.col("m") / CELL).cast("int"))
-    rows = rows.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "g").cast("int"))
+    rows = vectors.select("id", "v").mapInArrow(sign, "bucket long, id long, raw binary")
+    large = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CELL), "large")
+    rows = rows.join(large, "bucket", "left").withColumn("g", F.coalesce(F.ceil(F.col("m") / CELL).cast("int"), F.lit(1)))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), "g").cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("mine"), "id", "raw")
 
@@ -211,7 +229,7 @@ def near_pairs(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: f
             if len(held) < 2:
                 return None
             ids, mine = np.array([h[1] for h in held]), np.array([h[0] for h in held])
-            x = np.frombuffer(b"".join(h[2] for h in held), np.float64).reshape(len(held), -1)
+            x = _unpacked([h[2] for h in held])
             if unit[1] == unit[2]:
                 a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
             else:
