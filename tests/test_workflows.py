@@ -3,6 +3,7 @@
 import csv
 import json
 import os
+import shutil
 import zipfile
 
 import pytest
@@ -119,6 +120,12 @@ def test_exports(spark, tmp_path):
     assert (counts["n_new"], counts["n_unchanged"], counts["n_skipped_empty"]) == (2, 0, 1)
     counts = export.incremental_export(spark, "claude", raw, base)
     assert (counts["n_new"], counts["n_unchanged"], counts["n_updated"]) == (0, 2, 0)
+    before = export.read_snapshot(spark, lay)
+    export.write_snapshot_json(before, lay.snapshot_path, "now")
+    assert json.load(open(lay.snapshot_path, encoding="utf-8"))["records"]["bbbbbbbb-2"]["fingerprint"][0] == "1"
+    shutil.rmtree(lay.snapshot_table)
+    counts = export.incremental_export(spark, "claude", raw, base)
+    assert (counts["n_new"], counts["n_unchanged"], counts["n_updated"]) == (0, 2, 0)
     write(f"{raw}/x.json", flat(("aaaaaaaa-1", "Renamed", "2", turns_), ("dddddddd-4", "Four", "1", turns_[:2])))
     counts = export.incremental_export(spark, "claude", raw, base, zip_changed=True)
     assert (counts["n_new"], counts["n_updated"], counts["n_deleted"]) == (1, 1, 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import shutil
@@ -70,9 +71,34 @@ def full_export(spark: SparkSession, platform, raw: str, base: str, per_part: in
 
 
 def read_snapshot(spark: SparkSession, lay: Layout) -> DataFrame:
-    if not os.path.exists(lay.snapshot_table):
-        return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).parquet(lay.snapshot_table)
+    """The snapshot table; where there is none yet, a snapshot in JSON, or nothing."""
+    if os.path.exists(lay.snapshot_table):
+        return spark.read.schema(SNAPSHOT).parquet(lay.snapshot_table)
+    if os.path.exists(lay.snapshot_path):
+        return read_snapshot_json(spark, lay.snapshot_path)
+    return spark.createDataFrame([], SNAPSHOT)
+
+
+def read_snapshot_json(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a snapshot in JSON; without `records` none."""
+    record = "struct<name: string, updated_at: string, fingerprint: array<string>, _source: struct<platform: string, original_filename: string, exported_on_raw: string>>"
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", f"struct<records: map<string, {record}>>")["records"]).alias("uuid", "r"))
+    at = lambda i: F.coalesce(F.get("r.fingerprint", F.lit(i)), F.lit(""))
+    return rows.select("uuid", F.coalesce("r.name", F.lit("")).alias("name"), at(0).alias("updated_at"), at(1).alias("fingerprint"), F.col("r._source").alias("source"))
+
+
+def write_snapshot_json(rows: DataFrame, path: str, saved_at: str = "") -> None:
+    """A snapshot in JSON, its rows streamed through the driver."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write('{"saved_at": ' + json.dumps(saved_at) + ', "records": {')
+        for i, r in enumerate(rows.select("uuid", "name", "updated_at", "fingerprint", "source").toLocalIterator()):
+            source = {k: v for k, v in (r.source.asDict() if r.source else {}).items() if v is not None}
+            record = {"name": r.name, "updated_at": r.updated_at, "fingerprint": [r.updated_at or "", r.fingerprint], "_source": source}
+            f.write(("," if i else "") + "\n" + json.dumps(r.uuid, ensure_ascii=False) + ": " + json.dumps(record, ensure_ascii=False))
+        f.write("\n}}\n")
+    os.replace(f"{path}.part", path)
 
 
 def write_snapshot(rows: DataFrame, lay: Layout) -> None:
@@ -156,4 +182,4 @@ def _texts_in(folder: str):
     return run
 
 
-__all__ = ["clean_folder", "full_export", "incremental_export", "markdown", "prepared", "read_snapshot", "write_snapshot"]
+__all__ = ["clean_folder", "full_export", "incremental_export", "markdown", "prepared", "read_snapshot", "read_snapshot_json", "write_snapshot", "write_snapshot_json"]

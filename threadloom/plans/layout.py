@@ -6,6 +6,11 @@ import os
 from dataclasses import dataclass
 
 
+def resolve(root: str, path: str) -> str:
+    """An absolute path as it is, another one below root."""
+    return path if os.path.isabs(path) or "://" in path else os.path.join(root, path)
+
+
 @dataclass(frozen=True)
 class Layout:
     base: str
@@ -21,6 +26,6 @@ class Layout:
     report = property(lambda s: os.path.join(s.base, "6_report"))
     filename_mapping_csv = property(lambda s: os.path.join(s.report, "filename_mapping.csv"))
     snapshot_dir = property(lambda s: os.path.join(s.base, "_snapshot"))
-    #: The snapshot is a Parquet table beside this name; snapshot_json writes the JSON form there.
+    #: The snapshot is a Parquet table beside this name, where export.write_snapshot_json puts its JSON form.
     snapshot_path = property(lambda s: os.path.join(s.snapshot_dir, "snapshot.json"))
     snapshot_table = property(lambda s: os.path.join(s.snapshot_dir, "snapshot.parquet"))
