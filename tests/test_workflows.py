@@ -19,8 +19,8 @@ MD = "# Gemini Chat Export\n\n> Exported on: 2026/5/13 15:00:00\n\n---\n\n## \U0
 
 def write(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        f.write(text)
+    with open(path, "wb") as f:
+        f.write(text.encode())
 
 
 def messages(spark, *rows):
@@ -75,7 +75,7 @@ def test_trees(spark, tmp_path):
         "a": node("user", "multimodal_text", 10, parts=[{"content_type": "image_asset_pointer", "asset_pointer": "i"}]), "s": node("system", "text", 1, parts=["no"]), "c": node("assistant", "code", 15, text="x=1", language="py"),
         "d": node("tool", "tether_quote", 16, text="quote", domain="d.org"), "e": node("assistant", "system_error", 17, name="oops"), "f": node("assistant", "text", 30, parts=["more"]), "g": node("assistant", "unknown", 31, text="?"),
     }
-    write(f"{tmp_path}/conversations.json", "﻿" + json.dumps({"id": "g1", "title": "T", "create_time": 1734588000.0, "mapping": mapping}))
+    write(f"{tmp_path}/conversations.json", "﻿" + json.dumps({"title": "T", "mapping": mapping, "id": "g1", "create_time": 1734588000.0}))
     conv = tree_json.read(spark, str(tmp_path)).first()
     got = [(m.uuid, m.sender, m.render_kind, m.text) for m in conv.chat_messages]
     assert got == [("a", "human", "image_ref", "[image: i]"), ("c", "assistant", "code", "x=1"), ("d", "tool", "search_result", "quote"), ("e", "assistant", "system_error", "oops"), ("b", "assistant", "text", "a\n[image: p]\nt\n\nmore")]
@@ -130,7 +130,7 @@ def test_exports(spark, tmp_path):
     counts = export.incremental_export(spark, "claude", raw, base, zip_changed=True)
     assert (counts["n_new"], counts["n_updated"], counts["n_deleted"]) == (1, 1, 1)
     assert sorted(os.listdir(lay.notion_md_renamed)) == ["2025-01-02__Four__dddddddd.md", "2025-01-02__Renamed__aaaaaaaa.md", "2025-01-02__Two__bbbbbbbb.md"]
-    with open(lay.filename_mapping_csv, encoding="utf-8-sig", newline="") as f:
+    with open(lay.filename_mapping_csv, newline="", encoding="utf-8-sig") as f:
         assert [r["title"] for r in csv.DictReader(f)] == ["Renamed", "Four", "Two"]
     assert os.listdir(lay.zip_batches_diff)
 

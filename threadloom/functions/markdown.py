@@ -71,7 +71,7 @@ def math_to_code(c) -> Column:
 
 
 def collapse_blanks(c) -> Column:
-    return replace(c, r"\n{3,}", "\n\n")
+    return replace(c, "\n\n\n+", "\n\n")
 
 
 def space_rules(c) -> Column:
@@ -89,7 +89,7 @@ def space_rules(c) -> Column:
     return join_lines(let(splitlines(c), spaced))
 
 
-def cleaned(c, remove_unsupported: bool = True, convert_block_math: bool = True, normalize_blanks: bool = True) -> Column:
+def cleaned(c, remove_unsupported=True, convert_block_math=True, normalize_blanks=True) -> Column:
     """struct<text, unsupported_removed, block_math_converted>; the text ends in one line end."""
     zero = F.lit(0).cast("long")
 

@@ -49,7 +49,7 @@ def _write_zips(split: DataFrame, folder: str, target: int, overflow: int) -> li
     return sinks.write_zips(rows, folder)
 
 
-def full_export(spark: SparkSession, platform, raw: str, base: str, per_part: int = 25, target: int = 100, overflow: int = 20, skip_empty: bool = True, dedupe: bool = True, shift: bool = False, safe: bool = True) -> dict:
+def full_export(spark: SparkSession, platform, raw: str, base: str, per_part: int = 25, skip_empty: bool = True, target: int = 100, overflow: int = 20, dedupe: bool = True, shift: bool = False, safe: bool = True) -> dict:
     """All six stages; the counters that the last ones report. Writes no snapshot."""
     lay = Layout(base)
     convs = prepared(spark, platform, raw)
@@ -67,7 +67,8 @@ def full_export(spark: SparkSession, platform, raw: str, base: str, per_part: in
     sinks.write_texts(docs.select(F.col("src_name").alias("file_name"), "text"), lay.notion_md_renamed)
     split = _write_parts(spark, docs, lay.notion_md_split, per_part)
     infos = _write_zips(split, lay.zip_batches, target, overflow)
-    return {"n_conversations": n, "n_saved": saved, "n_skipped": n - saved, "n_renamed": named.count(), "n_collisions": named.agg(F.coalesce(F.sum("n_collisions"), F.lit(0))).first()[0], "n_zip_batches": len(infos), "zip_infos": infos, "mapping_csv": lay.filename_mapping_csv}
+    collisions = named.agg(F.coalesce(F.sum("n_collisions"), F.lit(0))).first()[0]
+    return dict(n_conversations=n, n_saved=saved, n_skipped=n - saved, n_renamed=named.count(), n_collisions=collisions, n_zip_batches=len(infos), zip_infos=infos, mapping_csv=lay.filename_mapping_csv)
 
 
 def read_snapshot(spark: SparkSession, lay: Layout) -> DataFrame:
@@ -162,7 +163,7 @@ def clean_folder(spark: SparkSession, folder: str) -> dict:
     """Clean a folder's Markdown files in place; only changed ones are written."""
     names = [n for n in sorted(os.listdir(folder)) if n.endswith(".md")]
     if not names:
-        return {"files": 0, "unsupported_removed": 0, "block_math_converted": 0}
+        return dict.fromkeys(("files", "unsupported_removed", "block_math_converted"), 0)
     rows = spark.createDataFrame([(n,) for n in names], "file_name string")
     texts = rows.mapInArrow(_texts_in(folder), "file_name string, text string")
     done = kept(render.clean_all(texts, "file_name"))

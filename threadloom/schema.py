@@ -19,18 +19,9 @@ def make_message(uuid, sender, text, index, created_at="", updated_at="", raw_ro
     text, sender = as_col(text), as_col(sender)
     role = F.when(sender == "human", "user").otherwise(sender)
     role = role if raw_role is None else or_else(as_col(raw_role), role)
-    fields = {
-        "uuid": as_col(uuid),
-        "sender": sender,
-        "raw_role": role,
-        "render_kind": as_col(render_kind),
-        "text": text,
-        "content": F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))),
-        "extra": (F.lit(None) if extra is None else as_col(extra)).cast(EXTRA),
-        "created_at": as_col(created_at),
-        "updated_at": as_col(updated_at),
-        "index": as_col(index).cast("int"),
-    }
+    block = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    fields = dict(uuid=as_col(uuid), sender=sender, raw_role=role, render_kind=as_col(render_kind), text=text, content=F.array(block))
+    fields |= dict(extra=(F.lit(None) if extra is None else as_col(extra)).cast(EXTRA), created_at=as_col(created_at), updated_at=as_col(updated_at), index=as_col(index).cast("int"))
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
 

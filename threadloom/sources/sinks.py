@@ -101,7 +101,7 @@ def write_mapping(rows: DataFrame, path: str, columns: list[str]) -> int:
     """rows, already ordered, as a CSV table with a byte order mark; rows are streamed through the driver."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     n = 0
-    with open(f"{path}.part", "w", encoding="utf-8-sig", newline="") as f:
+    with open(f"{path}.part", "w", newline="", encoding="utf-8-sig") as f:
         table = csv.writer(f)
         table.writerow(columns)
         for row in rows.select(*columns).toLocalIterator():
