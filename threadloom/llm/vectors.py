@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, lean, written
 
 QUERIES = 4096
 SEGMENTS = (4, 16)
 THRESHOLD = 0.9
 #: Vectors a bucket holds on average, vectors a cell of a split bucket holds at most, about, and the chance of a miss.
-BUCKET, CELL, MISS = 200, 2048, 0.004
+BUCKET, CELL, MISS = 500, 2048, 0.01
 SEED = 20_24
 
 
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield out()
 
     schema = "query_id long, vec_id long, score long"
-    found = rows.repartition("unit").sortWithinPartitions("unit", "dim", "kind").mapInArrow(run, schema)
+    found = rows.repartition("unit").sortWithinPartitions("unit", "dim", "kind").mapInArrow(lean(run), schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -213,7 +213,7 @@ def near_pairs(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: f
                     bucket = (code[:, t] << 8) * 1_000_003 + t * 7_919 + dim * 104_729
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[at]), raw], ["bucket", "id", "raw"])
 
-    rows = vectors.select("id", "v").mapInArrow(sign, "bucket long, id long, raw binary")
+    rows = vectors.select("id", "v").mapInArrow(lean(sign), "bucket long, id long, raw binary")
     large = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CELL), "large")
     rows = rows.join(large, "bucket", "left").withColumn("g", F.coalesce(F.ceil(F.col("m") / CELL).cast("int"), F.lit(1)))
     rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), "g").cast("int"))
@@ -251,7 +251,7 @@ def near_pairs(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: f
             yield got
 
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return dealt.mapInArrow(verify, "a long, b long").where("a <> b").distinct()
+    return dealt.mapInArrow(lean(verify), "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -288,3 +288,13 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE_NEAR = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a),
+l AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM n GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN l ON vec_id = l.a LEFT JOIN k ON vec_id = k.a
+"""
