@@ -24,6 +24,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BEGIN = "<s>"
 #: role: (opening, closing)
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assistant": ("[ANS] ", " </s>")}
@@ -67,7 +69,7 @@ def read(text: str, at: int) -> tuple[str, int, int, int]:
     return role or "", cut + 2, end, end + 8
 
 
-def read_all(text: str) -> list[tuple[str, str]]:
+def read_all(text: str) -> list[tuple]:
     """The turns of an example."""
     if not text.startswith(BEGIN):
         raise ValueError("no example begins here")
@@ -118,7 +120,7 @@ def examples(conversations: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return _sorted(conversations).mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
+    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def digests(conversations: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
-    return _sorted(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

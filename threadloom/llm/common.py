@@ -144,6 +144,32 @@ def numbered(df: DataFrame, n: str, to: str) -> DataFrame:
     return df.withColumn(to, F.explode(F.sequence(F.col(to) * step, F.least(F.col(n), (F.col(to) + 1) * step) - 1)))
 
 
+def lean(run):
+    """run, a function of mapInArrow, giving the memory it has freed back to the system at its end: workers live on."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return go
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def _forest(batches):
     """Union-find over the edges of one partition; yields a spanning forest as (node, root)."""
     import pyarrow as pa
@@ -179,7 +205,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     changes; every round is written to the shared folder. Nulls have no edges. No edges give no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b")
-    edges = written(edges.mapInArrow(_forest, "a long, b long"), "forest")
+    edges = written(edges.mapInArrow(lean(_forest), "a long, b long"), "forest")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     for _ in range(most_rounds):

@@ -22,6 +22,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SIGMA = 1.0
 #: The threshold as a share of the smoothed ratios' standard deviation.
 SHARE = 0.5
@@ -57,7 +59,7 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        #: (tag, number, set apart, number of the article around or 0, heading)
+        #: (tag, number, set apart, number of the article around or 0)
         self.open: list[tuple[str, int, bool, int]] = []
         self.count = self.tags = self.links = self.linked = 0
         self.parts: list[str] = []
@@ -209,7 +211,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 LENGTH = 1024
 OPEN_BINS = 1 << 16
@@ -41,14 +41,12 @@ def encoder(path: str):
     a special token's string go to the file's own library.
     """
     import base64
+    import json
     import os
 
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    special = [t.content for t in own.get_added_tokens_decoder().values()]
+    special = [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens", [])]
+    slow = lambda t: _own(path).encode(t, add_special_tokens=False).ids
     ranks = path.removesuffix(".json") + ".tiktoken"
-    slow = lambda t: own.encode(t, add_special_tokens=False).ids
     try:
         import public_tokenizers
         import tiktoken
@@ -62,6 +60,13 @@ def encoder(path: str):
     return lambda texts: [slow(t) if any(s in t for s in special) else fast(t) for t in texts]
 
 
+@lru_cache(4)
+def _own(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole if it fits, else full pieces behind a first one with the rest."""
     if n <= length:
@@ -90,7 +95,7 @@ def token_pieces(docs: DataFrame, path: str, end: int = 2, length: int = LENGTH)
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(encode), PIECES)
 
 
 class Bins:
@@ -144,7 +149,7 @@ def packed(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS,
     order = F.xxhash64(*columns)
     dealt = pieces.repartition(streams, order).sortWithinPartitions(F.desc("length"), order, *columns)
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    return dealt.mapInArrow(pack, kinds + ", sequence_id long, `offset` long")
+    return dealt.mapInArrow(lean(pack), kinds + ", sequence_id long, `offset` long")
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Marginal probability from which the field adds a span.
@@ -305,7 +307,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:4]), *(pa.array(x, pa.string()) for x in out[4:])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return docs.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def hidden(text: str, spans) -> str:
@@ -330,7 +332,7 @@ def masked(docs: DataFrame) -> DataFrame:
             texts = [hidden(t, all_spans(t, base_spans(t), model)) if t else t for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, "text", pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

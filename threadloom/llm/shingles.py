@@ -24,17 +24,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bloom, components, in_bloom, mix64, pieces, text_bytes, written
+from .common import WORD, bloom, components, in_bloom, lean, mix64, pieces, text_bytes, written
 
 N = 5
 #: The threshold as a fraction of whole numbers, 90 / 100 of the union.
 NUM, DEN = 9, 10
 SKETCH_BITS = 22
 #: Bytes of text that are worked on at once.
-BLOCK = 2_000_000
+BLOCK = 500_000
 #: Pairs that one cell of a hub's grid verifies, about.
 CELL = 20_000
 RANGES = 64
+#: Bits of the filter that clears rows in `deduplicated`: at most 2**18 words, 4 MB, are broadcast.
+DOUBT_BITS = 24
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -143,7 +145,7 @@ def classes_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 ids.append(class_of(got))
                 held.append((got >> _U(64 - bits)).astype(np.int32))
                 waiting += len(got)
-                if waiting > 4_000_000:
+                if waiting > 1_000_000:
                     add()
             k = len(sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
@@ -153,7 +155,7 @@ def classes_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
             parts = [pack.compress(x.tobytes()) for x in np.split(counts, 16)]
             yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, slice int, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, class long, slice int, counts binary")
 
 
 def add_up(slices: DataFrame, bits: int) -> np.ndarray:
@@ -177,7 +179,7 @@ def add_up(slices: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, np.uint32)
     size = len(out) // 16
-    for row in slices.repartition(16, "slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
+    for row in slices.repartition(16, "slice").mapInArrow(lean(run), "slice int, counts binary").toLocalIterator():
         out[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.uint32)
     return out
 
@@ -211,7 +213,7 @@ def prefixes(docs: DataFrame, n: int, sketch, bits: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "class", "place"])
 
-    return docs.select("text").mapInArrow(run, "token long, class long, place long")
+    return docs.select("text").mapInArrow(lean(run), "token long, class long, place long")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -266,7 +268,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], ["class", "set"])
 
-    sets = docs.select("text").mapInArrow(found, "class long, set binary")
+    sets = docs.select("text").mapInArrow(lean(found), "class long, set binary")
     sets = sets.groupBy("class").agg(F.first("set").alias("set"))
     members = wanted.join(sets, "class").select("unit", F.lit(0).alias("kind"), F.col("class").alias("a"), F.lit(0).cast("long").alias("b"), "set")
     rows = members.unionByName(at.select("unit", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set")))
@@ -292,7 +294,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
                         good[1].append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in good], ["a", "b"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(check, "a long, b long")
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(lean(check), "a long, b long")
 
 
 def similar(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
@@ -329,14 +331,36 @@ def deduplicated(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFr
     groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
     kept = groups.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order._key").alias("_key"))
     kept = kept.unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("_key")).distinct())
-    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = keyed.join(written(kept, "kept"), "_key", "left_semi")
-    if not twice:
-        blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
-        rows = rows.where(~blank).dropDuplicates(["_key"]).unionByName(rows.where(blank))
-    return rows.select(*docs.columns)
+    kept = written(kept, "kept")
+    # Rows that a filter of fixed size clears stay where they are; only the others, with their texts, are joined.
+    many = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    doubtful = many.join(kept.withColumn("stays", F.lit(True)), "_key", "left").where("n > 1 or stays is null").select("_key")
+    bit = F.pmod("_key", F.lit(1 << DOUBT_BITS))
+    words = doubtful.groupBy(F.shiftright(bit, 6).alias("_w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(_key, {1 << DOUBT_BITS}) % 64 as int)))").alias("_v"))
+    marked = keyed.withColumn("_w", F.shiftright(bit, 6)).join(F.broadcast(written(words, "doubt")), "_w", "left")
+    hit = F.coalesce(F.expr(f"shiftright(_v, cast(pmod(_key, {1 << DOUBT_BITS}) % 64 as int)) & 1 = 1"), F.lit(False))
+    clear = marked.where(~hit).select(*docs.columns)
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
+    rest = marked.where(hit).select("_key", *docs.columns).join(kept, "_key", "left_semi")
+    rest = rest.where(~blank).dropDuplicates(["_key"]).unionByName(rest.where(blank))
+    return clear.unionByName(rest.select(*docs.columns))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return similar(docs).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS m FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, 0)::BIGINT AS n_similar, component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN g ON d.doc_id = g.a LEFT JOIN k ON d.doc_id = k.a
+"""

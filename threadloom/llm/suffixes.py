@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom, in_bloom, mix64, text_bytes, written
+from .common import bloom, in_bloom, lean, mix64, text_bytes, written
 
 LENGTH = 200
 GRAM = 64
@@ -143,7 +143,7 @@ def anchors_and_sketch(docs: DataFrame, length: int, gram: int, bits: int) -> Da
             parts = [pack.compress(x.tobytes()) for x in np.split(counts, 16)]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(16, pa.int64()) for _ in range(4)), pa.array(range(16), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "anchor long, context long, key long, place long, slice int, counts binary")
+    return docs.mapInArrow(lean(run), "anchor long, context long, key long, place long, slice int, counts binary")
 
 
 def add_up(slices: DataFrame, bits: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def add_up(slices: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, np.uint16)
     size = len(out) // 16
-    for row in slices.repartition(16, "slice").mapInArrow(run, "slice int, counts binary").toLocalIterator():
+    for row in slices.repartition(16, "slice").mapInArrow(lean(run), "slice int, counts binary").toLocalIterator():
         out[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.uint16)
     return out
 
@@ -183,7 +183,7 @@ def frequent(rows: DataFrame, sketch, bits: int, hot: int) -> DataFrame:
             got = batch.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(count[keep] > hot)], ["anchor", "context", "key", "place", "often"])
 
-    return rows.mapInArrow(run, "anchor long, context long, key long, place long, often boolean")
+    return rows.mapInArrow(lean(run), "anchor long, context long, key long, place long, often boolean")
 
 
 def compared(rows: DataFrame, hot: int) -> DataFrame:
@@ -221,7 +221,7 @@ def compared(rows: DataFrame, hot: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[i]) for x in (a, key, place))], names)
 
     schema = "kind int, anchor long, key long, place long"
-    plain = rows.where("not often").drop("often").repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, schema)
+    plain = rows.where("not often").drop("often").repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(lean(run), schema)
     often = rows.where("often")
     each = often.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("one"))
     twice = often.join(each.where("n >= 2").select("anchor", "context"), ["anchor", "context"]).select(F.lit(0).alias("kind"), "anchor", "key", "place")
@@ -326,7 +326,7 @@ def spans_by_sort(contexts: DataFrame, length: int) -> DataFrame:
             yield solve(held)
 
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "key long, start long, stop long")
+    return dealt.mapInArrow(lean(run), "key long, start long, stop long")
 
 
 def spans_by_count(contexts: DataFrame, length: int) -> DataFrame:
@@ -344,7 +344,7 @@ def spans_by_count(contexts: DataFrame, length: int) -> DataFrame:
                     got = mix64((sums[length:] - sums[:k]) * down[:k])
                     yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.full(k, key)), pa.array(np.arange(k) + start)], ["window", "key", "start"])
 
-    rows = contexts.mapInArrow(run, "window long, key long, start long")
+    rows = contexts.mapInArrow(lean(run), "window long, key long, start long")
     twice = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("window")
     return rows.join(twice, "window").select("key", "start", (F.col("start") + length).alias("stop"))
 
@@ -374,7 +374,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bit
             if len(hit):
                 yield batch.take(__import__("pyarrow").array(hit))
 
-    texts = written(docs.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(touched, "key long, text string"), "touched")
+    texts = written(docs.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(lean(touched), "key long, text string"), "touched")
     one = texts.dropDuplicates(["key"])
     start = F.shiftright("place", 16)
     size = F.shiftright("place", 8).bitwiseAND(F.lit(255)) + length
@@ -421,9 +421,24 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
     rows, spans = without_repeats(docs, length, gram, bits, hot)
-    part = written(spans.mapInArrow(_kept, "key long, n_removed long, n_spans long, kept_sha256 string"), "kept")
+    part = written(spans.mapInArrow(lean(_kept), "key long, n_removed long, n_spans long, kept_sha256 string"), "kept")
     out = rows.join(part, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     pick = lambda name, all_, none: F.when(whole, all_).otherwise(F.coalesce(name, none)).alias(name)
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", pick("n_removed", F.col("n_bytes"), zero), pick("n_spans", F.lit(1).cast("long"), zero), pick("kept_sha256", F.lit(hashlib.sha256().hexdigest()), F.col("sha")))
+
+
+ORACLE = """
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, i, md5(substring(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM h)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY m) AS c FROM s),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM c WHERE c > 1),
+k AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+a AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY r, k),
+t AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS z FROM a),
+q AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM t JOIN h USING (r) GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substring(x, 2 * last + 1, length(x)) END)) AS kept_sha256
+FROM h LEFT JOIN q USING (r)
+"""
