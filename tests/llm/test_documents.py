@@ -194,6 +194,18 @@ def test_mixing(spark):
     assert key(got[0])
 
 
+def test_mixing_sql_with_capped_sources(spark, tmp_path):
+    import duckdb
+
+    table(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = [tuple(r) for r in con.execute(f"select doc_id, size, source_size, target, taken from ({mixing.ORACLE})").fetchall()]
+    got = [tuple(r) for r in mixing.op2_mix(spark, str(tmp_path)).collect()]
+    assert ordered(r[:3] + r[4:] for r in got) == ordered(r[:3] + r[4:] for r in want)
+    assert ordered(r[3:4] for r in got) == [(pytest.approx(x),) for (x,) in ordered(r[3:4] for r in want)]
+
+
 def test_mixed_rows(spark):
     docs = table(spark, ROWS)
     plan = mixing.scheduled(docs.select(F.col("doc_id").alias("key"), "source", mixing.n_words("text").alias("size")))

@@ -60,8 +60,14 @@ def shares(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, most: float = M
     return spark.createDataFrame(rows, "source string, source_size long, source_rows long, target double")
 
 
+def place_of(key: str, source: str, size: str, seed: int = 0) -> Column:
+    """The hash by which a source's documents are ordered."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), part(key), part(source), part(size)))
+
+
 def scheduled(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """docs(key, source, size) with source_size, target, and `before`: the source's words that come earlier.
+    """docs(key, source, size) with source_size, target, `before`: the source's words that come earlier, and `h`, which orders it.
 
     Sources are split into runs of about RUN rows by hash, so no window holds a source; equal rows are counted
     first and spread again at the end.
@@ -70,8 +76,9 @@ def scheduled(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, most: int =
     per = shares(docs, share, weights, most)
     rows = docs.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.join(per, rows.source.eqNullSafe(per.source)).drop(per.source)
-    hashed = F.xxhash64(F.lit(seed), "key", "source", "size")
-    rows = rows.withColumn("h", hashed).withColumn("run", F.pmod(F.shiftrightunsigned("h", 1), F.greatest(F.lit(1), F.ceil(F.col("source_rows") / RUN))).cast("long"))
+    # The leading 32 bits, scaled to the number of runs: runs follow the order of the hash.
+    lead = F.conv(F.substring("h", 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("h", place_of("key", "source", "size", seed)).withColumn("run", F.shiftright(lead * F.greatest(F.lit(1), F.ceil(F.col("source_rows") / RUN)).cast("long"), 32))
     rows = written(rows, "runs")
     words = F.col("size") * F.col("copies")
     runs = rows.groupBy("source", "run").agg(F.sum(words).alias("w"))
@@ -81,7 +88,7 @@ def scheduled(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, most: int =
     rows = rows.withColumn("inside", F.coalesce(F.sum(words).over(within), F.lit(0)))
     joined = rows.join(runs, rows.source.eqNullSafe(runs.source) & (rows.run == runs.run)).drop(runs.source).drop(runs.run)
     spread = numbered(joined, "copies", "copy")
-    return spread.select("key", "source", "size", "source_size", "target", (F.col("ahead") + F.col("inside") + F.col("copy") * F.col("size")).alias("before"))
+    return spread.select("key", "source", "size", "source_size", "target", (F.col("ahead") + F.col("inside") + F.col("copy") * F.col("size")).alias("before"), "h")
 
 
 def taken(most: int = MOST) -> Column:
@@ -106,24 +113,52 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "size", "source_size", "target", taken().alias("taken"))
 
 
+_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, {_WORDS} AS size FROM documents),
+o AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, ((k - 1) % 3 + 1)::DOUBLE AS weight FROM o),
+c AS (SELECT *, coalesce(sum(3 * source_size) OVER q, 0) AS full_before, sum(weight) OVER (ORDER BY source_size / weight DESC, k DESC ROWS UNBOUNDED PRECEDING) AS weight_from FROM w WHERE source_size > 0
+  WINDOW q AS (ORDER BY source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, sum(source_size) OVER ()::DOUBLE - full_before AS rest FROM c),
+f AS (SELECT rest AS rest_, weight_from AS weight_ FROM l WHERE rest * weight / weight_from <= 3 * source_size ORDER BY source_size / weight, k LIMIT 1),
+t AS (SELECT w.source, w.source_size, CASE WHEN w.source_size = 0 THEN 0.0 ELSE least(3.0 * w.source_size, rest_ * weight / weight_) END AS target FROM w LEFT JOIN f ON true),
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws('|', '0', coalesce(doc_id::VARCHAR, ''), coalesce(d.source, ''), d.size::VARCHAR)), doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, floor(target + 1e-6)::BIGINT AS cut FROM b)
+SELECT doc_id, size, source_size, target::DOUBLE AS target,
+  (greatest(0, least(size, cut - before)) + greatest(0, least(size, cut - source_size - before)) + greatest(0, least(size, cut - 2 * source_size - before)))::BIGINT AS taken FROM e
+"""
+
+
+def edges(plan: DataFrame) -> DataFrame:
+    """Of a schedule, one row a source: how often all is served (`full`), and the place `edge` where one more round ends, with the
+    words left for it (`left`) and the number of equal rows there (`copies`)."""
+    cut = F.floor(F.col("target") + F.lit(1e-6)).cast("long")
+    rows = plan.where("size > 0").withColumn("full", F.floor(cut / F.col("source_size")).cast("long"))
+    rows = rows.withColumn("rest", cut - F.col("full") * F.col("source_size"))
+    at = rows.where("before + size > rest").groupBy("source").agg(F.min("h").alias("edge"))
+    found = rows.join(at, rows.source.eqNullSafe(at.source) & (rows.h == at.edge)).drop(at.source)
+    return found.groupBy("source", "edge", "full").agg((F.first("rest") - F.min("before")).alias("left"), F.count(F.lit(1)).alias("copies"))
+
+
 def mixed(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """docs (with text and source) as the mix takes them: whole copies as often as they are served, a cut one to its first words.
 
-    Rows are matched to the schedule by the hash of their text, id and source; the columns stay the same.
+    A row's copies follow from its place beside its source's edge, so texts aren't shuffled but for those at an edge. The columns stay the same.
     """
     cols = docs.columns
-    keyed = docs.withColumn("_size", n_words("text")).withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    keyed = docs.withColumn("_size", n_words("text")).withColumn("_key", F.xxhash64("doc_id", "source", "text")).withColumn("_place", place_of("_key", "source", "_size"))
     plan = scheduled(keyed.select(F.col("_key").alias("key"), "source", F.col("_size").alias("size")), share, weights, most)
-    plan = plan.withColumn("taken", taken(most)).where("taken > 0").withColumn("full", F.floor(F.col("taken") / F.col("size")).cast("long"))
-    plan = written(plan.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), F.sum("full").alias("_full"), F.collect_list(F.expr("nullif(taken - full * size, 0)")).alias("_cut")), "plan")
-    if not plan.where("_rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["_key"])
-    got = keyed.join(plan, "_key")
-    whole = numbered(got.where("_full > 0"), "_full", "_n").withColumn("_words", F.lit(-1).cast("long"))
-    cut = got.withColumn("_words", F.explode("_cut")).withColumn("_n", F.lit(0).cast("long"))
-    got = whole.unionByName(cut)
-    head = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest("_words", F.lit(1))))
-    got = got.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(head))
+    per = written(edges(plan), "edges")
+    per = per.select(F.col("source").alias("_source"), F.col("edge").alias("_edge"), F.col("full").alias("_full"), F.col("left").alias("_left"), F.col("copies").alias("_copies"))
+    got = keyed.where("_size > 0").join(per, keyed.source.eqNullSafe(per._source))
+    apart = got.where("_place <> _edge").withColumn("_times", F.col("_full") + (F.col("_place") < F.col("_edge")).cast("long"))
+    at = got.where("_place = _edge").dropDuplicates(["_place"]).withColumn("_times", F.col("_copies") * F.col("_full") + F.floor(F.col("_left") / F.col("_size")))
+    whole = numbered(apart.where("_times > 0"), "_times", "_n").select(*cols).unionByName(numbered(at.where("_times > 0"), "_times", "_n").select(*cols))
+    words = (F.col("_left") % F.col("_size")).cast("int")
+    head = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, words))
+    cut = at.where("_left % _size > 0").withColumn("text", head)
     if "n_chars" in cols:
-        got = got.withColumn("n_chars", F.length("text").cast("long"))
-    return got.select(*cols)
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(cut.select(*cols))

@@ -23,5 +23,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": vectors.ORACLE_TOP_K,
+        "op2_mix": mixing.ORACLE,
+        "op3_neardup": vectors.ORACLE_NEAR,
+        "op6_jaccard": shingles.ORACLE,
         "op9_chat": chat.ORACLE,
+        "op10_suffixes": suffixes.ORACLE,
     }
