@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +12,15 @@ MAX_TITLE = 80
 _DAY = r"\A(\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2})"
 
 
-def _composed(titles):
-    import pandas as pd
+def nfc(c, any_unicode: bool = True) -> Column:
+    """The composed form (an Arrow UDF, as Spark has none); titles known to be ASCII can go without."""
 
-    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in titles])
+    def composed(titles: pd.Series) -> pd.Series:
+        import unicodedata
 
+        return titles.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
-def nfc(c, any_unicode: bool = True) -> Column:
-    """The composed form (an Arrow UDF, as Spark has none); titles known to be ASCII can go without."""
-    return F.pandas_udf(_composed, "string")(c) if any_unicode else c
+    return F.pandas_udf(composed, "string")(c) if any_unicode else c
 
 
 def sanitize_title(c, max_len: int = MAX_TITLE, any_unicode: bool = True) -> Column:

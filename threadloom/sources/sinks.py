@@ -14,6 +14,8 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def _place(path: str, raw: bytes) -> None:
     part = f"{path}.{os.getpid()}.part"
@@ -24,6 +26,7 @@ def _place(path: str, raw: bytes) -> None:
 
 def write_texts(rows: DataFrame, folder: str) -> int:
     """rows(file_name, text) as UTF-8 files; the number of rows."""
+    ship()
     os.makedirs(folder, exist_ok=True)
 
     def run(batches):
@@ -47,6 +50,7 @@ def as_json(conversation: dict) -> str:
 
 def write_conversations(rows: DataFrame, folder: str) -> int:
     """rows(file_name, and a conversation's columns) as JSON files."""
+    ship()
     columns = ["uuid", "name", "chat_messages", "created_at", "updated_at", "source"]
     os.makedirs(folder, exist_ok=True)
 
