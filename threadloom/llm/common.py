@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word, as every contract of this package defines it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -145,7 +147,11 @@ def numbered(df: DataFrame, n: str, to: str) -> DataFrame:
 
 
 def lean(run):
-    """run, a function of mapInArrow, giving the memory it has freed back to the system at its end: workers live on."""
+    """run, a function of mapInArrow, giving the memory it has freed back to the system at its end: workers live on.
+
+    The package goes to the workers first, as run names functions of it.
+    """
+    ship()
 
     def go(batches):
         try:
