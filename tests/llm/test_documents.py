@@ -343,6 +343,13 @@ def test_components_of_chains(spark):
     assert all(got[i] == (i - 1) // 50 * 50 + 1 for i in range(1, 200)) and all(got[k] == 500 for k in range(500, 700))
 
 
+def test_components_of_a_long_chain(spark):
+    ids = random.Random(4).sample(range(-(10**15), 10**15), 2000)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long").repartition(6)
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
 def test_bloom(spark):
     keys = spark.range(0, 4000, 2).select(F.col("id").alias("key"))
     words = bloom(keys, 18)

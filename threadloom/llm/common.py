@@ -203,28 +203,31 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root) of every node with an edge; root is the least node reachable.
 
     Each partition first reduces its edges to a forest, so that a node of any degree leaves at most one row a partition.
-    Then nodes take the least label among their neighbours and labels jump to their own labels, until nothing
-    changes; every round is written to the shared folder. Nulls have no edges. No edges give no rows.
+    Then, until nothing changes, nodes take the least label among their neighbours, hand it to the node that was
+    their label (so whole trees hook to one another, and rounds grow with the logarithm of a chain's length) and jump to
+    their label's label; every round is written to the shared folder. Labels only fall, and where they are at rest
+    both ends of every edge have the same one. Nulls have no edges. No edges give no rows.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b")
     edges = written(edges.mapInArrow(lean(_forest), "a long, b long"), "forest")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(most_rounds):
+    moved = True
+    while moved:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        one = labels.join(near, "node").select("node", F.least("root", "seen").alias("one"), "root")
-        up = labels.select(F.col("node").alias("one"), F.col("root").alias("jump"))
-        new = written(one.join(up, "one", "left").select("node", F.least("one", F.coalesce("jump", "one")).alias("root"), (F.col("root") != F.least("one", F.coalesce("jump", "one"))).alias("moved")), "labels")
+        seen = written(labels.join(near, "node").select("node", F.least("root", "seen").alias("one"), "root"), "seen")
+        handed = seen.groupBy(F.col("root").alias("node")).agg(F.min("one").alias("handed"))
+        two = seen.join(handed, "node", "left").select("node", F.least("one", "handed").alias("two"), "root")
+        up = labels.select(F.col("node").alias("two"), F.col("root").alias("jump"))
+        new = two.join(up, "two", "left").select("node", F.least("two", "jump").alias("new"), "root")
+        new = written(new.select("node", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")), "labels")
         moved = not new.where("moved").isEmpty()
+        forget(seen)
         forget(labels)
         labels = new
-        if not moved:
-            break
-    else:
-        raise RuntimeError("the components did not settle")
     forget(edges)
     return labels.select("node", "root")
