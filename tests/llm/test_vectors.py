@@ -85,6 +85,13 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert found >= 0.97 * sum(links) and over >= 0.97 * len(use)
 
 
+@pytest.mark.parametrize("n", [1000, 50_000, 1_000_000, 10**9])
+def test_chance_to_miss_a_pair(n):
+    bits, tables = vectors.plan_of(n)
+    for cosine, most in ((0.9, 0.004), (0.92, 0.0011)):
+        assert (1 - (1 - np.arccos(cosine) / np.pi) ** bits) ** tables <= most
+
+
 def test_empty(spark):
     assert vectors.near_duplicates(table(spark, []).drop("label")).count() == 0
     t = spark.createDataFrame([], "vec_id long, v array<long>")
