@@ -26,6 +26,23 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = ("word " * 200).strip()
+REGIONS = [
+    (f"<div><h1>Title</h1><p>{LONG}</p><p>ok.</p></div>", f"Title\n{LONG}\nok."),
+    (f"<body><h1>Title</h1><p>Lead</p><div class='text'><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title\nLead\n{LONG}\n{LONG}"),
+    (f"<div><h1>Title</h1><div>a</div><div>b</div><div>c</div><div>{LONG}</div></div>", f"Title\na\nb\nc\n{LONG}"),
+    (f"<ul><li>{LONG}</li><li>two</li></ul><p>end</p>", f"{LONG}\ntwo\nend"),
+    (f"<article><p>{LONG}</p></article><p>between</p><article><h2>Next</h2><p>{LONG} too</p></article>", f"{LONG}\nNext\n{LONG} too"),
+    (f"<article><a href=x>only a link</a></article><div><h1>Title</h1><p>{LONG}</p></div>", f"Title\n{LONG}"),
+    ("<article><a href=x>only a link</a></article><article><a href=y>another</a></article>", "only a link\nanother"),
+]
+
+
+@pytest.mark.parametrize("html, text", REGIONS, ids=range(len(REGIONS)))
+def test_regions(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages(spark):
     rows = [(i, None if i % 2 else "u", h, "clash") for i, (h, _) in enumerate(PAGES)] + [(None, "u", PAGES[4][0], "x"), (0, "u", PAGES[0][0], "x")]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

@@ -5,8 +5,9 @@ the share of its text inside links, and the elements around it. Lines inside wha
 class names set apart (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) never
 count. Over the others, the ratio of text to tags per line is smoothed with a Gaussian and lines at or above a
 threshold, a share of the ratio's standard deviation, form the content clusters. Where the page marks its article or
-main part, the one holding most of the clusters' text is the region; else the region is the innermost element that
-holds nearly all of it. All of the region's lines are kept, however short.
+main part, all such parts with lines of the clusters are the region; else the region is the innermost container of
+several lines that holds all of the clusters, or the whole page. All of the region's lines are kept, however short; without a
+marked part, not those that are mostly links.
 
 Cases: null and empty pages give an empty text; unclosed elements end where HTML ends them or with the element
 around them; repeated rows and null ids are rows like any other; texts of any length are read whole; an empty table gives an empty
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +29,6 @@ from .common import lean
 SIGMA = 1.0
 #: The threshold as a share of the smoothed ratios' standard deviation.
 SHARE = 0.5
-#: Share of the clusters' text that the region of a page without an article has to hold.
-HOLDS = 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul noscript template".split())
@@ -40,6 +40,8 @@ _WORDS = frozenset(
     "breadcrumb breadcrumbs crumbs footer foot colophon copyright masthead topbar header comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations "
     "popup modal overlay newsletter subscribe subscription signup login search searchbox pagination pager toolbar widget widgets skip tags tagcloud outbrain taboola paywall".split()
 )
+#: What may be the region of a page without an article: paragraphs, headings, lists and the like lie beside others of its text.
+_CONTAINERS = frozenset("article body center div html main section td".split())
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _MAIN = re.compile(r"articlebody|mainentityofpage", re.I)
@@ -69,7 +71,7 @@ class Reader(HTMLParser):
             text = " ".join("".join(self.parts).split())
             if text:
                 article = self.open[-1][3] if self.open else 0
-                self.lines.append(Line(text, self.tags, self.linked, tuple(x[1] for x in self.open), article))
+                self.lines.append(Line(text, self.tags, self.linked, tuple(x[1] for x in self.open if x[0] in _CONTAINERS), article))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def apart(self, tag: str, attrs: list) -> bool:
@@ -171,19 +173,14 @@ def content(lines: list[Line]) -> list[Line]:
     for x, d in zip(lines, dense):
         if x.article:
             articles[x.article] = articles.get(x.article, 0) + (len(x.text) if d else 0)
-    if articles:
-        best = max(articles, key=lambda a: (articles[a], -a))
-        return [x for x in lines if x.article == best]
-    total = sum(len(x.text) for x, d in zip(lines, dense) if d)
-    if not total:
-        return lines if all(x.linked * 2 <= len(x.text) for x in lines) else [x for x in lines if x.linked * 2 <= len(x.text)]
-    held: dict[int, int] = {}
-    for x, d in zip(lines, dense):
-        if d:
-            for n in x.path:
-                held[n] = held.get(n, 0) + len(x.text)
-    inside = [n for n, size in held.items() if size >= HOLDS * total]
-    region = max(inside) if inside else None
+    if articles and (any(articles.values()) or not any(dense)):
+        kept = {a for a, size in articles.items() if size} or set(articles)
+        return [x for x in lines if x.article in kept]
+    if not any(dense):
+        return [x for x in lines if x.linked * 2 <= len(x.text)]
+    inside = set.intersection(*(set(x.path) for x, d in zip(lines, dense) if d))
+    held = Counter(n for x in lines for n in x.path if n in inside)
+    region = max((n for n in inside if held[n] > 1), default=None)
     rows = [(x, d) for x, d in zip(lines, dense) if region is None or region in x.path]
     return [x for x, d in rows if d or x.linked * 2 <= len(x.text)]
 
