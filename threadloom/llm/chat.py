@@ -1,9 +1,13 @@
 """Operator 9: chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example: all turns before it as context, its reply alone under the loss mask. Turns
-after the last reply make one more example without a target, so nothing of a conversation is lost. All examples of a
-conversation are prefixes of one rendering, so `examples` holds a conversation's text once while it writes them,
-and the digests, read back turn by turn, hold one turn.
+after the last reply make one more example without a target, so nothing of a conversation is lost. The examples of a
+conversation are prefixes of one rendering, which is held once while they are written. That is quadratic in a
+conversation's turns, as the expansion itself is; a conversation's last example holds all of it in one row, so a
+conversation is no longer than a row may be.
+
+`digests` reads the examples that `examples` makes, batch by batch in the same worker: the turns from each
+conversation's last example, what is trained from every example's mask, and the lengths of all texts.
 
 A turn is `[INST] text [/INST]` (user), `[SYS] text [/SYS]` (system), `[ANS] text </s>` (assistant) or
 `[TURN "role"] text [/TURN]`; `<s>` begins an example. A control string inside a text gets a backslash before it, one
@@ -11,8 +15,7 @@ more than it has, and loses one on the way back; control strings of the template
 
 Rows are ordered by turn, then role and text. Cases: null text is empty; a null role is written as null and read as
 empty; null conv_ids are one conversation; null turns come first; repeated rows are turns; an empty table gives an
-empty table; other columns are ignored. One conversation's rows are hashed in order, so in one task, which sorts
-with spilling and holds one turn.
+empty table; other columns, whatever their names, are ignored. A very long text or conversation is written whole.
 """
 
 from __future__ import annotations
@@ -85,88 +88,82 @@ def _sorted(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+_EXAMPLE = ["conv_id", "example", "text", "loss_start", "loss_end"]
+#: Characters of examples that one batch holds, about.
+_BATCH = 8_000_000
+
+
+def _expand(batches):
+    """Batches of examples from batches of a conversation's turns in order."""
+    import pyarrow as pa
+
+    kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()
+    conv, held, made, pending, out, size = object(), "", 0, False, [], 0
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _EXAMPLE)
+
+    for batch in batches:
+        for c, _, role, text in zip(*(x.to_pylist() for x in batch.columns)):
+            if c != conv:
+                if pending:
+                    out.append((conv, made, held, len(held), len(held)))
+                conv, held, made = c, BEGIN, 0
+            part, a, b = render(role, text)
+            a, b, held = a + len(held), b + len(held), held + part
+            pending = role != "assistant"
+            if not pending:
+                out.append((c, made, held, a, b))
+                made += 1
+                size += len(held)
+                if size > _BATCH:
+                    yield batch_of(out)
+                    out, size = [], 0
+    if pending:
+        out.append((conv, made, held, len(held), len(held)))
+    if out:
+        yield batch_of(out)
+
+
+def _read_back(examples):
+    """Batches of digests, one row a conversation, from batches of its examples in order."""
+    import pyarrow as pa
+
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    conv, last, loss, chars, total, out = object(), None, None, 0, 0, []
+
+    def end():
+        turns = read_all(last)
+        digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        return conv, len(turns), digest, chars, loss.hexdigest(), total
+
+    for batch in examples:
+        for c, _, text, a, b in zip(*(x.to_pylist() for x in batch.columns)):
+            if c != conv:
+                if last is not None:
+                    out.append(end())
+                conv, loss, chars, total = c, hashlib.sha256(), 0, 0
+            last, trained = text, unescape(text[a:b])
+            loss.update(trained.encode())
+            chars += len(trained)
+            total += len(text)
+        if len(out) > 5000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+            out = []
+    if last is not None:
+        out.append(end())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
+
 def examples(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, text, loss_start, loss_end): the examples, with their masks in code points (equal where nothing is trained)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        names = ["conv_id", "example", "text", "loss_start", "loss_end"]
-        conv, held, made, pending, out, size = object(), "", 0, False, [], 0
-
-        def flush():
-            nonlocal out, size
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
-            out, size = [], 0
-            return batch
-
-        for batch in batches:
-            for c, _, role, text in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != conv:
-                    if pending:
-                        out.append((conv, made, held, len(held), len(held)))
-                    conv, held, made = c, BEGIN, 0
-                part, a, b = render(role, text)
-                a, b, held = a + len(held), b + len(held), held + part
-                pending = role != "assistant"
-                if not pending:
-                    out.append((c, made, held, a, b))
-                    made += 1
-                    size += len(held)
-                    if size > 8_000_000:
-                        yield flush()
-        if pending:
-            out.append((conv, made, held, len(held), len(held)))
-        if out:
-            yield flush()
-
-    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, example long, text string, loss_start long, loss_end long")
+    return _sorted(conversations).mapInArrow(lean(_expand), "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """Per conversation, read back from its examples: turns, what is under the loss mask, and the code points of all examples."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        conv, state = object(), None
-
-        def end():
-            turns, loss, n, chars, length, total, pending = state
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total + (length if pending else 0)
-
-        out = []
-        for batch in batches:
-            for c, _, role, text in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != conv:
-                    if state:
-                        out.append(end())
-                    conv, state = c, [hashlib.sha256(), hashlib.sha256(), 0, 0, len(BEGIN), 0, False]
-                part, a, b = render(role, text)
-                got, start, stop, after = read(part, 0)
-                if after != len(part):
-                    raise ValueError("a turn doesn't read back")
-                body = unescape(part[start:stop])
-                state[0].update(f"{got}\n{body}\n".encode())
-                state[2] += 1
-                state[4] += len(part)
-                state[6] = role != "assistant"
-                if not state[6]:
-                    masked = unescape(part[a:b])
-                    state[1].update(masked.encode())
-                    state[3] += len(masked)
-                    state[5] += state[4]
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-                out = []
-        if state:
-            out.append(end())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
-
-    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _sorted(conversations).mapInArrow(lean(lambda batches: _read_back(_expand(batches))), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
