@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from threadloom.llm import mixing, packing, pii, shingles, suffixes, toxicity
 from threadloom.llm.common import bloom, components, in_bloom
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -252,9 +254,24 @@ def test_packing(spark):
 def test_bins_close_the_fullest():
     bins = packing.Bins(10, 2)
     assert [bins.put(n)[0] for n in (6, 7, 5, 4, 5)] == [0, 1, 2, 0, 2]
+    assert bins.closed == 1
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)]
 
 
+def test_bound_binds_on_documents():
+    import pyarrow.parquet as pq
+
+    if not os.path.isdir(SF):
+        pytest.skip("the driver's tables aren't here")
+    texts = pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    sizes = [n for ids in packing.encoder(packing.public_path())(t or "" for t in texts) for _, n in packing.cut(len(ids) + 1)]
+    bins = packing.Bins()
+    for n in sizes:
+        bins.put(n)
+    assert bins.closed > 0 and bins.open == packing.OPEN_BINS
+    assert bins.made <= 1.05 * sum(sizes) / 1024 + 10
+
+
 def brute_spans(text):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []

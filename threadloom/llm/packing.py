@@ -2,12 +2,12 @@
 
 Bounded-space online best-fit: at most `open_bins` sequences are open, kept in a bitset keyed by free space, so the
 best fit for a piece is the lowest set bit at or above its length; when one more has to open, the fullest closes.
-Every task packs its own stream of pieces, drawn by hash, longest first: then short ones fill what long ones leave.
-A stream has at least STREAM pieces while there are as many, so the sequences left part empty at the streams' ends
-stay a small part at every size.
+Every task packs its own stream of pieces as they come, in the order of a hash, which doesn't know their lengths; so
+the bound binds in every stream of some hundred pieces. A stream has at least STREAM pieces while there are as
+many, so the sequences left part empty at the streams' ends stay a small part at every size.
 
 Cases: null text is empty and, like empty text, gives the end token alone; repeated rows and null doc_ids are packed
-one by one; an empty table gives an empty table; other columns are ignored.
+one by one; a very long text is cut into full pieces; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import lean, written
 
 LENGTH = 1024
-OPEN_BINS = 1 << 16
+#: Of random order and documents of 460 tokens on average, sequences are 1 % more than full ones; from 128 bins on the bound costs nothing.
+OPEN_BINS = 256
 STREAM = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -102,7 +103,7 @@ class Bins:
     """Open bins by free space; the bit f of `bits` says that some open bin has f free."""
 
     def __init__(self, length: int = LENGTH, open_bins: int = OPEN_BINS):
-        self.length, self.most, self.bits, self.open, self.made = length, open_bins, 0, 0, 0
+        self.length, self.most, self.bits, self.open, self.made, self.closed = length, open_bins, 0, 0, 0, 0
         self.by: list[list[int]] = [[] for _ in range(length + 1)]
 
     def put(self, n: int) -> tuple[int, int]:
@@ -114,6 +115,7 @@ class Bins:
         else:
             if self.open >= self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             i, free = self.made, self.length
             self.made += 1
         if free > n:
@@ -147,7 +149,7 @@ def packed(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS,
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], ids, pa.array([o for _, o in got], pa.int64())], [*columns, "sequence_id", "offset"])
 
     order = F.xxhash64(*columns)
-    dealt = pieces.repartition(streams, order).sortWithinPartitions(F.desc("length"), order, *columns)
+    dealt = pieces.repartition(streams, order).sortWithinPartitions(order, *columns)
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
     return dealt.mapInArrow(lean(pack), kinds + ", sequence_id long, `offset` long")
 
