@@ -23,26 +23,66 @@ def fine(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v)
 
 
-@pytest.mark.parametrize("blocks", [4096, 7])
-def test_top_k(spark, monkeypatch, blocks):
-    monkeypatch.setattr(vectors, "QUERIES", blocks)
+@pytest.mark.parametrize("chunk, block", [(32768, 2048), (7, 30)])
+def test_top_k(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(vectors, "QUERIES", chunk)
+    monkeypatch.setattr(vectors, "BLOCK", block)
     rows = made()
-    whole = {i: np.floor(256 * np.array(v)) for i, v, _ in rows if fine(v)}
-    t = table(spark, rows + [rows[50]]).where("vec_id is not null").where(vectors.usable())
-    t = t.select("vec_id", F.expr("transform(v, x -> cast(floor(256 * x) as long))").alias("v"))
-    got = vectors.top_k(t, t.where("vec_id % 50 = 0 or vec_id >= 406"), 5).collect()
-    for q in [i for i in whole if i % 50 == 0 or i >= 406]:
-        scores = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:5]
-        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in scores]
+    # repeated rows, one vec_id with several vectors, a query too, and components beyond 2**53
+    rows += [rows[50], rows[50], (50, rows[7][1], 1), (3, rows[9][1], 1), (3, rows[9][1], 1), (700, [1e300] + [0.0] * 23, 1), (750, [3e14] * 24, 1), (701, [-3e14] * 23 + [5.0], 1), (None, rows[8][1], 1)]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if fine(v) and i is not None]
+    t = table(spark, rows).where(vectors.usable()).withColumn("raw", F.lit("clash"))
+    t = t.withColumn("v", F.expr("transform(v, x -> rint(256 * x) - if(rint(256 * x) > 256 * x, 1.0D, 0.0D))"))
+    got = {}
+    for r in vectors.top_k(t, t.where("vec_id % 50 = 0 or vec_id >= 406"), 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ends = lambda n: max(1 - 2**63, min(2**63 - 1, n))
+    asked = {i for i, _ in whole if i % 50 == 0 or i >= 406}
+    assert set(got) <= asked
+    for q in asked:
+        scores = [(-ends(sum(a * b for a, b in zip(mine, x))), i) for one, mine in whole if one == q for i, x in whole if i != q and len(x) == len(mine)]
+        assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:5])]
+
+
+def test_top_k_equals_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    rows = [(i % 60, rng.normal(size=8).tolist(), 0) for i in range(200)] + [(50, None, 1), (51, [float("inf")] * 8, 1)]
+    rows += rows[:20]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select query_id, rank, vec_id, score from ({vectors.ORACLE_TOP_K})").fetchall()
+    assert sorted(map(tuple, vectors.op1_topk(spark, str(tmp_path)).collect())) == sorted(want)
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x, q = np.floor(rng.normal(size=(50, 64)) * 256), np.floor(rng.normal(size=(9, 64)) * 256)
-    best = vectors.Best(np.arange(9), q.astype(np.int64), 5)
+    ones = np.ones(50, np.int64)
+    best = vectors.Best(np.arange(9), q, ones[:9], np.full(9, -np.inf), 5)
+    box = vectors.Boxes([(3, 64, *(f([np.concatenate([vectors.summaries(v[None], s)[0] for s in vectors.SEGMENTS]) for v in x]).tobytes() for f in (lambda s: np.min(s, 0), lambda s: np.max(s, 0))))])
     for level, segments in enumerate(vectors.SEGMENTS):
-        bound = best.above((x**2).sum(1), vectors.summaries(x, segments), level, np.arange(9))
+        bound = best.above(best._sums(x, segments), level, np.arange(9))
         assert (bound >= q @ x.T).all()
+        assert (box.bounds(64, q)[1][:, 0] >= bound.max(1) - 1).all()
+
+
+def test_survivors_only(monkeypatch):
+    """Where few pairs survive the bounds, only these are computed, and blocks out of reach see no query."""
+    rng = np.random.default_rng(3)
+    x = np.floor(np.repeat(rng.normal(size=(400, 4)), 16, axis=1) * 256)
+    best = vectors.Best(np.arange(20), x[:20], np.ones(20, np.int64), np.full(20, -np.inf), 5)
+    pairs = []
+    whole = np.einsum
+    monkeypatch.setattr(vectors.np, "einsum", lambda form, a, b: pairs.append(len(a)) or whole(form, a, b))
+    for at in range(0, 400, 100):
+        best.add(np.arange(at, at + 100), x[at : at + 100], np.ones(100, np.int64))
+    assert pairs and max(pairs) <= 0.15 * 20 * 100
+    for i in range(20):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(400) if j != i)[:5]
+        assert list(zip((-best.scores[i]).tolist(), best.found[i].tolist())) == want
 
 
 def test_ties_go_to_smaller_ids(spark):
@@ -94,6 +134,8 @@ def test_chance_to_miss_a_pair(n):
 
 def test_empty(spark):
     assert vectors.near_duplicates(table(spark, []).drop("label")).count() == 0
+    alone = vectors.near_duplicates(table(spark, [(4, [1.0, 2.0], 0), (None, None, 0)])).orderBy("vec_id").collect()
+    assert [tuple(r) for r in alone] == [(None, 0, None, True), (4, 0, 4, True)]
     t = spark.createDataFrame([], "vec_id long, v array<long>")
     assert vectors.top_k(t, t, 5).count() == 0
     one = spark.createDataFrame([(50, [1, 2])], "vec_id long, v array<long>")

@@ -146,6 +146,23 @@ def numbered(df: DataFrame, n: str, to: str) -> DataFrame:
     return df.withColumn(to, F.explode(F.sequence(F.col(to) * step, F.least(F.col(n), (F.col(to) + 1) * step) - 1)))
 
 
+def in_units(pairs: DataFrame, cell: int, most_bytes: int) -> DataFrame:
+    """Where pairs (a, b, wa, wb: the bytes of either side) are verified: rows (unit, a, b).
+
+    Pairs meet at a hub, the least partner of their `a` or itself, so a thing isn't sent once a pair. A hub of more than about `cell`
+    pairs or `most_bytes` of members is split into a grid, so no unit holds an unbounded group.
+    """
+    near = pairs.selectExpr("a as x", "b as y").unionByName(pairs.selectExpr("b as x", "a as y")).groupBy("x").agg(F.min("y").alias("y"))
+    hubs = near.select(F.col("x").alias("a"), F.least("x", "y").alias("hub"))
+    at = written(pairs.join(hubs, "a"), "hubs")
+    members = at.selectExpr("hub", "a as x", "wa as w").unionByName(at.selectExpr("hub", "b as x", "wb as w")).distinct()
+    size = members.groupBy("hub").agg(F.sum("w").alias("w"))
+    count = at.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    grid = count.join(size, "hub").select("hub", F.greatest(F.ceil(F.sqrt(F.col("m") / cell)), F.ceil(2 * F.col("w") / most_bytes)).cast("int").alias("g"))
+    at = at.join(grid.where("g > 1"), "hub", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    return at.withColumn("unit", F.xxhash64("hub", F.pmod(F.hash("a"), "g"), F.pmod(F.hash("b"), "g"))).select("unit", "a", "b")
+
+
 def lean(run):
     """run, a function of mapInArrow, giving the memory it has freed back to the system at its end: workers live on.
 
