@@ -14,7 +14,7 @@ PAGES = [
     ("", ""),
     ("<p>just", "just"),
     ("<script>var a='<p>x</p>'</script>plain   text", "plain text"),
-    ("<article><header><h1>T</h1><p>by me</p></header><p>body</p><ul><li>one<li>two</ul><div class=comments><article class=comment>bad</article></div></article>", "T\nbody\none\ntwo"),
+    ("<article><header><h1>T</h1><p>by me</p></header><p>body</p><ul><li>one<li>two</ul><div class=comments><article class=comment>bad</article></div></article>", "T\nby me\nbody\none\ntwo"),
     ("<nav><ul><li><a>x</a></ul><article><p>text</p></article>", "text"),
     ("<article><p><b>One.<br><p>Two&#8212;2 &lt;b&gt;</p><style>p{}</style><!-- no --></article><footer>end", "One.\nTwo\u20142 <b>"),
     ("<article>" + "<p>long text here</p>" * 20_000 + "</article>", "\n".join(["long text here"] * 20_000)),
@@ -34,7 +34,16 @@ REGIONS = [
     (f"<ul><li>{LONG}</li><li>two</li></ul><p>end</p>", f"{LONG}\ntwo\nend"),
     (f"<article><p>{LONG}</p></article><p>between</p><article><h2>Next</h2><p>{LONG} too</p></article>", f"{LONG}\nNext\n{LONG} too"),
     (f"<article><a href=x>only a link</a></article><div><h1>Title</h1><p>{LONG}</p></div>", f"Title\n{LONG}"),
-    ("<article><a href=x>only a link</a></article><article><a href=y>another</a></article>", "only a link\nanother"),
+    ("<article><a href=x>only a link</a></article><article><a href=y>another</a></article>", ""),
+    (f"<div class='layout has-sidebar'><div class='post-header'><h1>Title</h1></div><section id='search-algorithms'><p>{LONG}</p></section><p class='tags-explained'>Tags.</p><div class='sidebar'>side</div></div>", f"Title\n{LONG}\nTags."),
+    (f"<article><header><h1>Title</h1><p>Lead</p></header><p>{LONG}</p><footer>by me</footer></article>", f"Title\nLead\n{LONG}"),
+    (f"<div class='cookieBanner'>We bake</div><h1>Title</h1><p>Lead</p><div><p>{LONG}</p><p>{LONG}</p></div>", f"Title\nLead\n{LONG}\n{LONG}"),
+    (f"<p>Intro.</p><div><div><p>{LONG}</p></div><p>{LONG}</p></div>", f"Intro.\n{LONG}\n{LONG}"),
+    (f"<div class='header'><h1>Title</h1><p>{LONG}</p></div><p>after</p>", f"Title\n{LONG}"),
+    (f"<div class='site-header'><b>Site</b> slogan</div><h1>Title</h1><article><p>{LONG}</p></article><div class='user-comments'><article><p>{LONG}</p></article></div>", f"Title\n{LONG}"),
+    (f"<form id=f><article><p>{LONG}</p></article></form><form>Name</form>", LONG),
+    (f"<div><a href=1>one</a> <a href=2>two</a></div><p>{LONG}</p><button>Go</button><p>x <span class=ad>buy</span> y</p>", f"{LONG}\nx y"),
+    ("<nav>one</nav><footer>two words</footer>", ""),
 ]
 
 
@@ -53,6 +62,22 @@ def test_pages(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_ratios_decide(monkeypatch):
+    """Flat ratios change pages with and without an article, and without clusters there is no text."""
+    pages = [h for h, t in [*PAGES, *REGIONS] if t and "<nav" in h or h and "sidebar" in h]
+    plain = f"<div>Home of all words</div><div>A slogan</div><p><a href=x>More</a></p><div><p>{LONG}</p><p>{LONG}</p></div><div>All rights</div>"
+    assert html_text.main_text(plain) == f"{LONG}\n{LONG}"
+    before = [html_text.main_text(h) for h in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "ratios", lambda lines, framing: [1.0] * len(lines))
+        assert all(html_text.main_text(h) != t for h, t in zip(pages, before)) and len(pages) > 3
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda ratios: [1.0] * len(ratios))
+        assert html_text.main_text(plain) != f"{LONG}\n{LONG}"
+        m.setattr(html_text, "smoothed", lambda ratios: [0.0] * len(ratios))
+        assert not any(html_text.main_text(h) for h in [*pages, plain])
+
+
 def test_smoothing_keeps_the_mean_of_a_plain():
     assert html_text.smoothed([3.0] * 5) == pytest.approx([3.0] * 5)
     assert max(html_text.smoothed([0, 0, 9, 0, 0])) < 9
