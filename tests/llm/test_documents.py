@@ -383,6 +383,39 @@ def test_toxicity_without_labels(spark):
     assert {r._score for r in toxicity.scored(docs, model).collect()} == {0.0}
 
 
+def test_toxicity_thresholds_by_language():
+    """A language whose scores lie elsewhere gets its own threshold; one with no labels that of all."""
+    rng = np.random.default_rng(0)
+    rows, score = [], []
+    for i in range(2000):
+        y = int(rng.random() < 0.3)
+        lang = ["a", "b"][i % 3 == 0]
+        score.append((0.65 if lang == "b" else 0.2) + 0.15 * y + 0.1 * rng.random())
+        rows.append((np.full((3, 3), 1 << toxicity.ROW_BITS, np.int32), y, lang))
+    rows[0] = (*rows[0][:2], None)
+    at = iter(score)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity.Model, "fit", lambda *a: None)
+        m.setattr(toxicity.Model, "scores", lambda *a: np.array([next(at)]))
+        model = toxicity.fitted(rows, (1400, 600))
+    assert model.thresholds["a"] == 0.3 and model.thresholds["b"] == 0.8
+    assert set(model.thresholds) == {"a", "b", None}
+
+
+def test_toxicity_cleans_and_handles_cases(spark):
+    docs, labels = toxic_rows(600)
+    docs = spark.createDataFrame([(*r, "x") for r in docs] + [(0, docs[0][1], "en", "s", 0, "y")] * 3 + [(None, None, None, None, None, None)], DOCS + ", _score string")
+    labels = spark.createDataFrame(labels + labels[:50] + [(None, 0, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, positives=60, negatives=100)
+    scored, kept = toxicity.scored(docs, model), toxicity.cleaned(docs, model)
+    assert scored.columns == ["doc_id", "text", "lang", "source", "n_chars", "_score", "_threshold"] and kept.columns == docs.columns
+    assert kept.count() == scored.where("_score < _threshold").count() < docs.count() == scored.count()
+    assert scored.where("text is null").count() == kept.where("text is null").count() == 1
+    empty = docs.limit(0)
+    assert toxicity.scored(empty, model).count() == toxicity.cleaned(empty, model).count() == 0
+    assert toxicity.train(empty, labels).constant is not None
+
+
 def test_empty_tables(spark):
     docs = table(spark, []).limit(0)
     assert shingles.similar(docs).count() == 0
