@@ -91,8 +91,10 @@ def test_jaccard(spark):
     assert ordered(map(tuple, got)) == ordered(want)
 
 
-def test_jaccard_splits_hubs(spark, monkeypatch):
+def test_jaccard_splits_hubs_and_hot_shingles(spark, monkeypatch):
     monkeypatch.setattr(shingles, "CELL", 2)
+    monkeypatch.setattr(shingles, "HOT", 7)
+    monkeypatch.setattr(shingles, "CELL_BYTES", 5000)
     rng = random.Random(2)
     base = [f"t{k}" for k in range(200)]
     rows = [(i, " ".join(base[: 100 + i // 8] + [f"u{rng.random()}"]), "s") for i in range(60)]
@@ -102,7 +104,7 @@ def test_jaccard_splits_hubs(spark, monkeypatch):
 
 
 def test_jaccard_dedup(spark):
-    docs = table(spark, ROWS)
+    docs = table(spark, ROWS).withColumn("_key", F.lit("clash")).withColumn("_w", F.lit(1))
     kept = shingles.deduplicated(docs)
     assert kept.columns == docs.columns
     _, _, least = brute_links(ROWS)

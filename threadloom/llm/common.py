@@ -95,6 +95,27 @@ def pieces(offsets: np.ndarray, most: int):
         first = last
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where df has such columns."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def bits_for(n: float, least: int, most: int) -> int:
+    """The bits of a table with n places or more, between two bounds."""
+    return min(most, max(least, int(n).bit_length()))
+
+
+def size_of(docs: DataFrame) -> int:
+    """About how many bytes docs(text) has: what the planner knows of its files, or else the sum of the texts' lengths."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 BLOOM_BITS = 24
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, forget, numbered, written
+from .common import WORD, forget, free, numbered, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -190,18 +190,20 @@ def mixed(docs: DataFrame, share: float = 1.0, weights=WEIGHTS, most: int = MOST
     A row's copies follow from its place beside its source's edge, so texts aren't shuffled but for those at an edge. The columns stay the same.
     """
     cols = docs.columns
-    key, place, size, times = (f"_mix_{x}" for x in ("key", "place", "size", "times"))
+    names = ["source", "edge", "full", "left", "copies"]
+    key, place, size, times, *per_names = free(docs, *(f"_mix_{x}" for x in ("key", "place", "size", "times", *names)))
+    source, edge, full, left, copies = map(F.col, per_names)
     keyed = docs.withColumn(key, F.xxhash64(*cols))
     plan = mix(keyed.select(F.col(key).alias("key"), "source", n_words("text").alias("size")), share, weights, most)
-    per = written(edges(plan), "edges").select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "edge", "full", "left", "copies")])
+    per = written(edges(plan), "edges").select(*[F.col(c).alias(to) for c, to in zip(names, per_names)])
     keyed = keyed.where(F.col("text").rlike(WORD)).withColumn(place, place_of(key, "source"))
-    got = keyed.join(per, F.col("source").eqNullSafe(F.col("_mix_source")))
-    apart = got.where(F.col(place) != F.col("_mix_edge")).withColumn(times, F.col("_mix_full") + (F.col(place) < F.col("_mix_edge")).cast("long"))
-    at = got.where(F.col(place) == F.col("_mix_edge")).dropDuplicates([key]).withColumn(size, n_words("text"))
-    at = at.withColumn(times, F.col("_mix_copies") * F.col("_mix_full") + F.floor(F.col("_mix_left") / F.col(size)))
+    got = keyed.join(per, F.col("source").eqNullSafe(source))
+    apart = got.where(F.col(place) != edge).withColumn(times, full + (F.col(place) < edge).cast("long"))
+    at = got.where(F.col(place) == edge).dropDuplicates([key]).withColumn(size, n_words("text"))
+    at = at.withColumn(times, copies * full + F.floor(left / F.col(size)))
     whole = apart.select(*cols, times).unionByName(at.select(*cols, times)).where(F.col(times) > 0)
     whole = numbered(whole, times, key).select(*cols)
-    words = (F.col("_mix_left") % F.col(size)).cast("int")
+    words = (left % F.col(size)).cast("int")
     head = F.concat_ws("", F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, words))
     cut = at.where(words > 0).withColumn("text", head)
     if "n_chars" in cols:

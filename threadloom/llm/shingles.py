@@ -3,15 +3,16 @@
 Every document is the set of its distinct word n-grams, held as 64-bit fingerprints. Documents with equal sets are
 one class; classes are joined by rare-first prefix filtering:
 
-1. All documents' shingles are counted in a sketch of fixed size, each task counting its own and the counts being
-   added up slice by slice. The order of shingles is (count, fingerprint): any order gives the exact result, and
-   the count keeps passages that many documents share out of the prefixes.
+1. All documents' shingles are counted in a sketch that grows with the input up to SKETCH_BITS, each task counting its own and
+   the counts being added up slice by slice; what is broadcast is their logarithms, a byte each. The order of shingles is
+   (count, fingerprint): any order gives the exact result, and the count keeps passages that many documents share out of the prefixes.
 2. Classes that share a shingle of their prefixes and pass the length and the positional filter are candidates,
-   each pair once.
-3. The sets of candidates, found again with a Bloom filter of fixed size, go to where their pairs are verified:
-   pairs meet at a hub (the least candidate of their smaller member), and a hub with many pairs is split into a
+   each pair once. A shingle in more than HOT prefixes is split into a grid of cells, so no task joins a whole hot group.
+3. The sets of candidates, found again with a Bloom filter that grows with their number up to BLOOM_BITS, go to where their pairs are verified:
+   pairs meet at a hub (the least candidate of their smaller member), and a hub with many pairs or large sets is split into a
    grid, so neither is a set sent once a pair nor does one task hold an unbounded group. The suffix filter bounds the
-   symmetric difference from counts in ranges of fingerprints; what passes is intersected.
+   symmetric difference from counts in ranges of fingerprints; what passes is intersected. Beyond the filter's bound more sets than
+   needed travel, at most each once.
 
 Cases: null and blank texts have no words, an empty set and no links, and are their own component; texts with fewer
 words than n are one shingle; repeated rows are links of each other; null doc_ids take part, and a component's id
@@ -24,18 +25,25 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bloom, components, in_bloom, lean, mix64, pieces, text_bytes, written
+from .common import WORD, bits_for, bloom, components, free, in_bloom, in_units, lean, mix64, pieces, size_of, text_bytes, written
 
 N = 5
 #: The threshold as a fraction of whole numbers, 90 / 100 of the union.
 NUM, DEN = 9, 10
-SKETCH_BITS = 22
+#: Bits of the sketch's and the filter's places at most: 64 MB and 32 MB are broadcast.
+SKETCH_BITS, BLOOM_BITS = 26, 28
+#: Bytes of input for each place of the sketch.
+PLACE = 64
 #: Bytes of text that are worked on at once.
 BLOCK = 500_000
 #: Pairs that one cell of a hub's grid verifies, about.
 CELL = 20_000
+#: Bytes of the sets that a cell holds, about (a set may be larger by itself).
+CELL_BYTES = 64_000_000
+#: Prefixes that one cell of a shingle's grid joins, about.
+HOT = 1000
 RANGES = 64
-#: Bits of the filter that clears rows in `deduplicated`: at most 2**18 words, 4 MB, are broadcast.
+#: Bits of the filter that clears rows in `deduplicated` at most: 2**18 words of it, 4 MB, are broadcast.
 DOUBT_BITS = 24
 
 _U = np.uint64
@@ -159,7 +167,7 @@ def classes_and_sketch(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def add_up(slices: DataFrame, bits: int) -> np.ndarray:
-    """The sketch, from every task's slices; what comes to the driver has the sketch's fixed size."""
+    """Logarithms of the sketch's counts, from every task's slices; what comes to the driver has a byte for each place."""
 
     def run(batches):
         import pyarrow as pa
@@ -175,12 +183,14 @@ def add_up(slices: DataFrame, bits: int) -> np.ndarray:
                 else:
                     totals[k] = part.copy()
         for k, x in totals.items():
+            # eight steps an octave; whole numbers up to eight stay apart
+            x = np.round(8 * np.log2(1.0 + x)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
 
-    out = np.zeros(1 << bits, np.uint32)
+    out = np.zeros(1 << bits, np.uint8)
     size = len(out) // 16
     for row in slices.repartition(16, "slice").mapInArrow(lean(run), "slice int, counts binary").toLocalIterator():
-        out[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.uint32)
+        out[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.uint8)
     return out
 
 
@@ -217,11 +227,19 @@ def prefixes(docs: DataFrame, n: int, sketch, bits: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with a common prefix token that pass the length and the positional filter, each once."""
-    rows = rows.repartition("token")
-    left = rows.selectExpr("token", "class as a", "place as pa")
-    right = rows.selectExpr("token", "class as b", "place as pb")
-    pairs = left.join(right, "token").where("pa < pb or a <> b")
+    """Pairs (a, b, na, nb) of classes with a common prefix token that pass the length and the positional filter, each once."""
+    rows = written(rows.repartition("token"), "prefixes")
+    hot = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("token", F.ceil(F.col("m") / HOT).cast("int").alias("g")), "hot")
+    # a hot token's classes are dealt to g parts; every two parts, and each with itself, meet in one cell
+    parts = rows.join(hot, "token").withColumn("i", F.pmod(F.xxhash64("class"), "g").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cell = ["token", "lo", "hi"]
+    parts = parts.select("token", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "class", "place").repartition(*cell)
+    left = parts.selectExpr(*cell, "i as ia_", "class as a", "place as pa")
+    right = parts.selectExpr(*cell, "i as ib_", "class as b", "place as pb")
+    split = left.join(right, cell).where("lo = hi or ia_ <> ib_").select("a", "b", "pa", "pb")
+    rest = rows.join(hot, "token", "left_anti")
+    plain = rest.selectExpr("token", "class as a", "place as pa").join(rest.selectExpr("token", "class as b", "place as pb"), "token").select("a", "b", "pa", "pb")
+    pairs = plain.unionByName(split).where("a <> b")
     pairs = pairs.selectExpr("a", "b", "shiftright(pa, 32) as na", "shiftright(pb, 32) as nb", "pa & 4294967295 as ia", "pb & 4294967295 as ib")
     both = f"(na < nb or (na = nb and a < b)) and {DEN} * na >= {NUM} * nb"
     bound = f"{NUM + DEN} * least(na - ia, nb - ib) >= {NUM} * (na + nb)"
@@ -241,15 +259,9 @@ def _suffix_and_exact(x, y, cx, cy, nx: int, ny: int) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    filter_ = spark.sparkContext.broadcast(bloom(ends))
-
-    near = pairs.selectExpr("a as x", "b as y").unionByName(pairs.selectExpr("b as x", "a as y")).groupBy("x").agg(F.min("y").alias("y"))
-    hubs = near.select(F.col("x").alias("a"), F.least("x", "y").alias("hub"))
-    at = pairs.join(hubs, "a")
-    grid = at.groupBy("hub").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / CELL)).cast("int").alias("g"))
-    at = at.join(grid, "hub").withColumn("unit", F.xxhash64("hub", F.pmod(F.hash("a"), "g"), F.pmod(F.hash("b"), "g"))).select("unit", "a", "b")
-    at = written(at, "units")
+    ends = written(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ends")
+    filter_ = spark.sparkContext.broadcast(bloom(ends, bits_for(12 * ends.count(), 16, BLOOM_BITS)))
+    at = written(in_units(pairs.select("a", "b", (F.col("na") * 8).alias("wa"), (F.col("nb") * 8).alias("wb")), CELL, CELL_BYTES), "units")
     wanted = at.select("unit", F.col("a").alias("class")).unionByName(at.select("unit", F.col("b").alias("class"))).distinct()
 
     def found(batches):
@@ -297,10 +309,11 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(lean(check), "a long, b long")
 
 
-def similar(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
+def similar(docs: DataFrame, n: int = N) -> DataFrame:
     """For docs(doc_id, text): doc_id, n_shingles, class, n_similar and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = bits_for(size_of(docs) / PLACE, 16, SKETCH_BITS)
     first = written(classes_and_sketch(docs, n, bits), "classes")
     sketch = add_up(first.where("slice is not null").select("slice", "counts"), bits)
     rows = first.where("slice is null").select("doc_id", "n_shingles", "class")
@@ -320,29 +333,31 @@ def similar(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
     return out.unionByName(alone)
 
 
-def deduplicated(docs: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> DataFrame:
+def deduplicated(docs: DataFrame, n: int = N) -> DataFrame:
     """docs (with doc_id and text) without near-duplicates: of each component the row with the least doc_id stays, of equal rows one.
 
     Texts without words are linked with nothing and all stay; null doc_ids come after all others.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))
-    found = written(similar(keyed.select(F.col("_key").alias("doc_id"), "text"), n, bits), "similar")
-    ids = keyed.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("order"))
-    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct().join(ids, "_key")
-    kept = groups.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order._key").alias("_key"))
-    kept = kept.unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("_key")).distinct())
+    key, w, v = free(docs, "_key", "_w", "_v")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    found = written(similar(keyed.select(F.col(key).alias("doc_id"), "text"), n), "similar")
+    ids = keyed.select(F.col(key).alias("key"), F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("key")).alias("order"))
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key")
+    kept = groups.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.key").alias("key"))
+    kept = kept.unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("key")).distinct())
     kept = written(kept, "kept")
-    # Rows that a filter of fixed size clears stay where they are; only the others, with their texts, are joined.
-    many = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    doubtful = many.join(kept.withColumn("stays", F.lit(True)), "_key", "left").where("n > 1 or stays is null").select("_key")
-    bit = F.pmod("_key", F.lit(1 << DOUBT_BITS))
-    words = doubtful.groupBy(F.shiftright(bit, 6).alias("_w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(_key, {1 << DOUBT_BITS}) % 64 as int)))").alias("_v"))
-    marked = keyed.withColumn("_w", F.shiftright(bit, 6)).join(F.broadcast(written(words, "doubt")), "_w", "left")
-    hit = F.coalesce(F.expr(f"shiftright(_v, cast(pmod(_key, {1 << DOUBT_BITS}) % 64 as int)) & 1 = 1"), F.lit(False))
+    # Rows that a filter of bounded size clears stay where they are; only the others, with their texts, are joined.
+    many = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    doubtful = written(many.join(kept.withColumn("stays", F.lit(True)), "key", "left").where("n > 1 or stays is null").select("key"), "doubtful")
+    bits = bits_for(12 * doubtful.count(), 16, DOUBT_BITS)
+    bit = lambda c: F.pmod(c, F.lit(1 << bits))
+    words = doubtful.groupBy(F.shiftright(bit("key"), 6).alias(w)).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(key, {1 << bits}) % 64 as int)))").alias(v))
+    marked = keyed.withColumn(w, F.shiftright(bit(key), 6)).join(F.broadcast(written(words, "doubt")), w, "left")
+    hit = F.coalesce(F.expr(f"shiftright(`{v}`, cast(pmod(`{key}`, {1 << bits}) % 64 as int)) & 1 = 1"), F.lit(False))
     clear = marked.where(~hit).select(*docs.columns)
     blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)
-    rest = marked.where(hit).select("_key", *docs.columns).join(kept, "_key", "left_semi")
-    rest = rest.where(~blank).dropDuplicates(["_key"]).unionByName(rest.where(blank))
+    rest = marked.where(hit).select(key, *docs.columns).join(kept.withColumnRenamed("key", key), key, "left_semi")
+    rest = rest.where(~blank).dropDuplicates([key]).unionByName(rest.where(blank))
     return clear.unionByName(rest.select(*docs.columns))
 
 
