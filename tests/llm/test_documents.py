@@ -134,11 +134,29 @@ def brute_removed(rows, length):
 
 @pytest.mark.parametrize("hot", [4000, 1, 0])
 def test_suffixes(spark, hot):
-    rows = [*ROWS, (6000, "é" * 300 + ROWS[0][1], "s"), (6001, "x" + "é" * 150, "s"), (6002, "ab" * 200, "s")]
+    rows = [*ROWS, (6000, "é" * 300 + ROWS[0][1], "s"), (6001, "x" + "é" * 150, "s"), (6002, "ab" * 200, "s"), (6003, "abc" * 20_000, "s"), (6004, "x" * 50_000, "s")]
     got = suffixes.removed(table(spark, rows), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert ordered(map(tuple, got)) == ordered(brute_removed(rows, 200))
 
 
+def test_texts_whose_keys_agree(spark, monkeypatch):
+    """Where two texts had one key, both would count as copies of each other."""
+    whole = F.xxhash64
+    monkeypatch.setattr(suffixes.F, "xxhash64", lambda *c: whole(*c) % 7 if isinstance(c[0], str) and c[0] == "text" else whole(*c))
+    rows = [(i, f"{i} " * 200, "s") for i in range(30)] + [(40, "5 " * 200, "s")]
+    got = suffixes.removed(table(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert ordered(map(tuple, got)) == ordered(brute_removed(rows, 200))
+
+
+def test_merged_spans(spark):
+    rng = random.Random(6)
+    rows = [(k, s, s + rng.choice([200, 250, 3000])) for k in range(5) for s in rng.sample(range(3_000_000), 400)] + [(9, s, s + 200) for s in range(3000)]
+    got = suffixes.merged(spark.createDataFrame(rows, "key long, start long, stop long")).collect()
+    cover = lambda spans: {k: np.cumsum(np.bincount([s for x, s, _ in spans if x == k], minlength=3_100_000) - np.bincount([e for x, _, e in spans if x == k], minlength=3_100_000)) > 0 for k in (0, 4, 9)}
+    assert all((a == b).all() for a, b in zip(cover(rows).values(), cover([tuple(r) for r in got]).values()))
+    assert sum(r.key == 9 for r in got) == 1
+
+
 def test_long_texts_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SEGMENT", 1000)
     monkeypatch.setattr(suffixes, "BLOCK", 3000)

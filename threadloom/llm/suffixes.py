@@ -30,11 +30,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom, in_bloom, lean, mix64, text_bytes, written
+from .common import bits_for, bloom, in_bloom, lean, mix64, size_of, text_bytes, written
 
 LENGTH = 200
 GRAM = 64
-SKETCH_BITS = 24
+#: Bits of the sketch's and the filter's places at most: 128 MB and 32 MB are broadcast.
+SKETCH_BITS, BLOOM_BITS = 26, 28
+#: Bytes of input for each place of the sketch.
+PLACE = 32
 HOT = 4000
 BLOCK = 1_000_000
 SEGMENT = 8_000_000
@@ -349,22 +352,61 @@ def spans_by_count(contexts: DataFrame, length: int) -> DataFrame:
     return rows.join(twice, "window").select("key", "start", (F.col("start") + length).alias("stop"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def merged(spans: DataFrame) -> DataFrame:
+    """spans(key, start, stop) with those that overlap or touch joined, within blocks of 2**20 bytes: a long text's list holds runs, not windows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            key, block, start, stop = (batch.column(i).to_numpy() for i in range(4))
+            # a row begins a run where it lies beyond all stops before it in its block
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+            reach = stop - start[0]
+            span = int(max(reach.max(), (start - start[0]).max())) - int(min(reach.min(), 0)) + 1
+            group = np.cumsum(new) - 1
+            most = np.maximum.accumulate(group * span + (stop - stop.min()))
+            at = np.flatnonzero(new | np.concatenate(([False], (start[1:] - stop.min()) + group[1:] * span > most[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(start[at]), pa.array(np.maximum.reduceat(stop, at))], ["key", "start", "stop"])
+
+    blocks = spans.withColumn("block", F.shiftright("start", 20)).select("key", "block", "start", "stop").repartition("key", "block")
+    return blocks.sortWithinPartitions("key", "block", "start").mapInArrow(lean(run), "key long, start long, stop long")
+
+
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) with the 64-bit `key` of each text, and rows (doc_id, key, n_bytes, sha): texts that differ have different keys.
+
+    Where keys of different texts agree (as a corpus of some 10**10 texts has them), these texts take others.
+    """
+    key = F.xxhash64("text")
+    while True:
+        keyed = docs.withColumn("key", key)
+        rows = written(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
+        check = F.xxhash64("sha")
+        same = written(rows.groupBy("key").agg(F.min(check).alias("a"), F.max(check).alias("b")).where("a <> b").select("key"), "same")
+        if same.isEmpty():
+            return keyed, rows
+        shas = [r.sha for r in rows.join(same, "key", "left_semi").select("sha").distinct().collect()]
+        key = F.when(F.sha2("text", 256).isin(shas), F.xxhash64(F.lit(len(shas)), F.sha2("text", 256), key)).otherwise(key)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """For docs(doc_id, text): rows (doc_id, key, n_bytes, sha, copies), and per key (key, text, removed): merged spans of bytes to remove.
 
     The spans of texts that occur in several rows aren't among the second: all of such a text goes.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = written(docs.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "rows")
+    docs, rows = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    bits = bits_for(size_of(docs.select("text")) / PLACE, 16, SKETCH_BITS)
     found = written(anchors_and_sketch(docs.select("key", "text"), length, gram, bits), "anchors")
     sketch = add_up(found.where("slice is not null").select("slice", "counts"), bits)
     often = int(min(65534, max(hot, 64 * (int(sketch.sum(dtype=np.int64)) / len(sketch) + 1))))
     found = found.where("slice is null").select("anchor", "context", "key", "place")
     found = frequent(found, spark.sparkContext.broadcast(sketch), bits, often)
     found = written(compared(found, hot), "compared")
-    filter_ = spark.sparkContext.broadcast(bloom(found.select("key").distinct()))
+    keys = written(found.select("key").distinct(), "keys")
+    filter_ = spark.sparkContext.broadcast(bloom(keys, bits_for(12 * keys.count(), 16, BLOOM_BITS)))
 
     def touched(batches):
         import pyarrow as pa
@@ -384,7 +426,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bit
     contexts = written(contexts, "contexts")
     spans = found.where("kind = 0").select("key", start.alias("start"), (start + size).alias("stop"))
     spans = spans.unionByName(spans_by_sort(contexts.where("kind = 1").drop("kind"), length)).unionByName(spans_by_count(contexts.where("kind = 2").drop("kind"), length))
-    spans = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    spans = merged(spans).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.join(copies, "key")
     single = rows.where(f"copies = 1 and n_bytes >= {length}").select("key")
@@ -419,8 +461,8 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
-    rows, spans = without_repeats(docs, length, gram, bits, hot)
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    rows, spans = without_repeats(docs, length, gram, hot)
     part = written(spans.mapInArrow(lean(_kept), "key long, n_removed long, n_spans long, kept_sha256 string"), "kept")
     out = rows.join(part, "key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
