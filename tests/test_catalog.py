@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from threadloom.plans import catalog
+from threadloom.plans import catalog, workflow_catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -19,6 +19,9 @@ def duck():
     return con
 
 
+assert workflow_catalog.query is catalog.query
+
+
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.execute(catalog.ORACLE[name]).df()

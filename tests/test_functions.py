@@ -153,3 +153,34 @@ def test_parts(spark):
     assert set(got) == {"s__part01_pcp000-001.md", "s__part02_pcp002-003.md", "s__part03_pcp004-004.md", "e.md"}
     assert got["s__part03_pcp004-004.md"] == "# T\n\n_(part 3 / 3 : pcp_004 〜 pcp_004, 1 pcps, source: s.md)_\n\n## pcp_004\n\nbody 4\n"
     assert got["e.md"] == "nothing here"
+
+
+def test_segments(spark):
+    rows = spark.createDataFrame([(list("abcdef"), [1, 4]), ([], []), (["x"], [0]), (list("ab"), [])], "a array<string>, p array<int>")
+    got = rows.select(pytext.segmented(F.col("a"), F.col("p"), lambda x, i, k: F.concat(x, i.cast("string"), k.cast("string"))).alias("x")).collect()
+    assert [r.x for r in got] == [["a00", "b10", "c21", "d31", "e41", "f52"], [], ["x00"], ["a00", "b10"]]
+    blocks = F.transform("p", lambda p: F.struct(p.alias("a"), F.least(p + 1, F.size("a") - 1).alias("b")))
+    assert [r.x for r in rows.select(pytext.without(F.col("a"), blocks).alias("x")).collect()] == [["a", "d"], [], [], ["a", "b"]]
+
+
+def test_platforms(spark, tmp_path):
+    from threadloom import platforms
+
+    (tmp_path / "a.json").write_text('[{"uuid": "c1", "name": "T", "chat_messages": [{"sender": "human", "text": "q"}]}]')
+    assert [r.uuid for r in platforms.claude.parse_folder(spark, str(tmp_path)).collect()] == ["c1"]
+    with pytest.raises(KeyError):
+        platforms.of("nowhere")
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from threadloom.plans import tables
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session)

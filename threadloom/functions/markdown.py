@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pytext import SPACE, is_blank, is_inside, join_lines, let, positions, replace, rstrip, splitlines, strip
+from .pytext import SPACE, is_blank, join_lines, let, positions, replace, rstrip, segmented, splitlines, strip, without
 
 LABEL = r"pcp_(\p{Nd}{3}(?:_\p{Nd}{3})*)"
 DEEPEST = 3
@@ -32,7 +32,7 @@ def shift_headings(c, floor_level: int = 2) -> Column:
 
     def all_lines(lines):
         fences = positions(lines, lambda x: x.rlike(_FENCE))
-        return let(fences, lambda f: F.transform(lines, lambda x, i: F.when(x.rlike(form) & ~is_inside(f, i), heading(x)).otherwise(x)))
+        return let(fences, lambda f: segmented(lines, f, lambda x, _, k: F.when(x.rlike(form) & (k % 2 == 0), heading(x)).otherwise(x)))
 
     return join_lines(let(splitlines(c), all_lines))
 
@@ -55,7 +55,7 @@ def count_unsupported(c) -> Column:
 
 def without_unsupported(c) -> Column:
     def rest(lines):
-        return let(_unsupported_blocks(lines), lambda blocks: F.filter(lines, lambda _, i: ~F.exists(blocks, lambda b: (i >= b["a"]) & (i <= b["b"]))))
+        return let(_unsupported_blocks(lines), lambda blocks: without(lines, blocks))
 
     return join_lines(let(splitlines(c), rest))
 
@@ -105,8 +105,7 @@ def cleaned(c, remove_unsupported=True, convert_block_math=True, normalize_blank
 
     def first(lines):
         def rest(blocks):
-            kept = F.filter(lines, lambda _, i: ~F.exists(blocks, lambda b: (i >= b["a"]) & (i <= b["b"])))
-            return math(join_lines(kept), F.size(blocks).cast("long"))
+            return math(join_lines(without(lines, blocks)), F.size(blocks).cast("long"))
 
         return let(_unsupported_blocks(lines), rest)
 

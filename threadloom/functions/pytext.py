@@ -54,6 +54,23 @@ def positions(lines: Column, test) -> Column:
     return F.filter(marked, lambda i: i.isNotNull())
 
 
-def is_inside(places: Column, i: Column) -> Column:
-    """Whether an odd number of places lies before i."""
-    return F.size(F.filter(places, lambda p: p < i)) % 2 == 1
+def segmented(items: Column, places: Column, body) -> Column:
+    """body(item, i, k) of every item, with k the number of the ascending places before i. Takes time in proportion to both."""
+
+    def segment(k):
+        begin = F.when(k > 0, F.get(places, k - 1) + 1).otherwise(F.lit(0))
+        stop = F.coalesce(F.get(places, k) + 1, F.size(items))
+        return let(begin, lambda b: F.transform(F.slice(items, b + 1, stop - b), lambda x, i: body(x, i + b, k)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), segment))
+
+
+def without(items: Column, blocks: Column) -> Column:
+    """items without those from place `a` to place `b` of each of the ascending blocks."""
+
+    def gap(k):
+        begin = F.when(k > 0, F.get(blocks, k - 1)["b"] + 1).otherwise(F.lit(0))
+        stop = F.coalesce(F.get(blocks, k)["a"], F.size(items))
+        return F.slice(items, begin + 1, F.greatest(stop - begin, F.lit(0)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(blocks)), gap))

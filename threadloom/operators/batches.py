@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import original_stem
@@ -95,7 +94,7 @@ def batch_infos(files: DataFrame, packed: DataFrame) -> DataFrame:
     """(batch_no, zip_name, n_files, n_conversations, total_bytes) from files(file_name, size) and packed groups(stem, files, n, batch_no)."""
     each = packed.select("batch_no", "stem", F.explode("files").alias("file_name")).join(files, "file_name")
     infos = each.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("stem").alias("n_conversations"), F.sum("size").alias("total_bytes"))
-    named = infos.withColumn("n_batches", F.max("batch_no").over(W.partitionBy(F.lit(0))))
+    named = infos.crossJoin(F.broadcast(infos.agg(F.max("batch_no").alias("n_batches"))))  # one row
     digits = F.greatest(F.lit(2), F.length(F.col("n_batches").cast("string")))
     number = F.lpad(F.col("batch_no").cast("string"), digits, F.lit("0"))
     name = F.concat(F.lit("notion_md_batch_"), number, F.lit("_"), F.format_string("%03dfiles.zip", "n_files"))

@@ -246,7 +246,7 @@ def cleanup_stats(spark, sf_dir):
     return render.clean_totals(render.clean_all(_texts(spark, sf_dir), "id"))
 
 
-_TITLES = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat(' a:b*c?', substring(text, 1, 90)) WHEN 1 THEN concat(substring(text, 1, 30), '... ') WHEN 2 THEN concat('__', substring(text, 1, 12), chr(9), chr(10), 'x\"y<z>|') WHEN 3 THEN '' ELSE substring(text, 1, 100) END AS title, lang, source, n_chars FROM documents"
+_TITLES = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat(' a:b*c?', text) WHEN 1 THEN concat(substring(text, 1, 30), '... ') WHEN 2 THEN concat('__', substring(text, 1, 12), chr(9), chr(10), 'x\"y<z>|') WHEN 3 THEN '' ELSE text END AS title, lang, source, n_chars FROM documents"
 _SANITIZE = r"""CASE WHEN coalesce({0}, '') = '' THEN 'untitled' ELSE coalesce(nullif(regexp_replace(substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({0}), '[/\\:*?"<>|\x00-\x1F\x7F]', '_', 'g'), '\s+', '_', 'g'), '_+', '_', 'g'), '[\s.]+$', ''), '^_+|_+$', '', 'g'), 1, 80), '_+$', ''), ''), 'untitled') END"""
 
 
@@ -481,16 +481,21 @@ def _exported(rows: DataFrame) -> DataFrame:
 _TRANSCRIPT = f"SELECT conv_id, turn, {_SENDER} AS sender, CASE WHEN turn % 2 = 0 THEN concat(text, chr(10), '---', chr(10), 'rest') ELSE concat(text, chr(10), '```', chr(10), '## You', chr(10), '```') END AS text FROM conversations WHERE role <> 'system'"
 
 
-@query(rf"""WITH t AS ({_TRANSCRIPT}), f AS (SELECT conv_id, '2025-02-03_Chat_no_' || conv_id || '.md' AS fn FROM t GROUP BY 1), b AS (SELECT t.*, sha1(fn)[1:12] AS uuid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM t JOIN f USING (conv_id))
-SELECT conv_id AS conv_ord, uuid, 'Chat no ' || conv_id AS name, '2025-02-03T00:00:00+09:00' AS created_at, '2026-05-13T15:00:00+09:00' AS updated_at, position, sender, 'text' AS render_kind, {_STRIP.format("text")} AS text, uuid || ':' || printf('%04d', position) AS message, '2025-02-03T00:00:00+09:00' AS at FROM b""")
-def parse_export_md(spark, sf_dir):
+def transcripts(spark, sf_dir):
+    """(conv_ord, file_name, value) of transcripts."""
     rows = _view(spark, sf_dir, _TRANSCRIPT)
     head = F.when(F.col("sender") == "human", F.lit("## \U0001f464 You")).otherwise(F.lit("## \U0001f916 Gemini"))
     part = F.concat(head, F.lit("\n\n"), "text", F.lit("\n\n---\n\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "")
     docs = rows.groupBy("conv_id").agg(F.concat(F.lit("# Gemini Chat Export\n\n> Exported on: 2026/5/13 15:00:00\n\n---\n\n"), body).alias("value"))
     name = F.concat(F.lit("2025-02-03_Chat_no_"), F.col("conv_id").cast("string"), F.lit(".md"))
-    return _exported(export_md.normalized(docs.select(F.col("conv_id").alias("conv_ord"), name.alias("file_name"), "value")))
+    return docs.select(F.col("conv_id").alias("conv_ord"), name.alias("file_name"), "value")
+
+
+@query(rf"""WITH t AS ({_TRANSCRIPT}), f AS (SELECT conv_id, '2025-02-03_Chat_no_' || conv_id || '.md' AS fn FROM t GROUP BY 1), b AS (SELECT t.*, sha1(fn)[1:12] AS uuid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM t JOIN f USING (conv_id))
+SELECT conv_id AS conv_ord, uuid, 'Chat no ' || conv_id AS name, '2025-02-03T00:00:00+09:00' AS created_at, '2026-05-13T15:00:00+09:00' AS updated_at, position, sender, 'text' AS render_kind, {_STRIP.format("text")} AS text, uuid || ':' || printf('%04d', position) AS message, '2025-02-03T00:00:00+09:00' AS at FROM b""")
+def parse_export_md(spark, sf_dir):
+    return _exported(export_md.normalized(transcripts(spark, sf_dir)))
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS position FROM conversations)
@@ -517,6 +522,12 @@ def parse_flat_json(spark, sf_dir):
 SELECT conv_id AS conv_ord, 'u' || conv_id AS uuid, 'n' || conv_id AS name, '2024-12-19T06:00:00+00:00' AS created_at, '' AS updated_at, position, CASE role WHEN 'user' THEN 'human' ELSE role END AS sender,
 CASE WHEN role = 'system' THEN 'system_instruction' WHEN turn % 5 = 2 THEN 'image_ref' ELSE 'text' END AS render_kind, CASE WHEN role <> 'system' AND turn % 5 = 2 THEN text || chr(10) || '[image: f' || turn || ']' ELSE text END AS text, 'n' || turn AS message, '2024-12-19T06:' || printf('%02d', turn) || ':00.500000+00:00' AS at FROM c""")
 def parse_tree_json(spark, sf_dir):
+    rows = tree_exports(spark, sf_dir)
+    return _exported(tree_json.normalized(rows.select(F.col("conv_id").alias("conv_ord"), "raw")))
+
+
+def tree_exports(spark, sf_dir):
+    """(conv_id, raw) of conversations as trees."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     turn = F.col("turn").cast("string")
@@ -531,7 +542,7 @@ def parse_tree_json(spark, sf_dir):
     convs = rows.groupBy("conv_id").agg(nodes.alias("nodes"))
     c = F.col("conv_id").cast("string")
     raw = F.concat(F.lit('{"conversation_id": "u'), c, F.lit('", "title": "n'), c, F.lit('", "create_time": 1734588000, "mapping": {"root": {"message": null}, '), "nodes", F.lit("}}"))
-    return _exported(tree_json.normalized(convs.select(F.col("conv_id").alias("conv_ord"), raw.alias("raw"))))
+    return convs.select("conv_id", raw.alias("raw"))
 
 
 @query("SELECT conv_id, dense_rank() OVER (ORDER BY conv_id // 10, conv_id) - 1 AS conv_ord FROM (SELECT DISTINCT conv_id FROM conversations)")

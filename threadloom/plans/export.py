@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import shutil
 import uuid as uuids
 
@@ -113,12 +112,11 @@ def write_snapshot(rows: DataFrame, lay: Layout) -> None:
     shutil.rmtree(old, ignore_errors=True)
 
 
-def _purge(folder: str, ids: set[str]) -> None:
-    """Remove the numbered files of these ids; any number of digits."""
-    for name in os.listdir(folder) if os.path.isdir(folder) else ():
-        m = re.match(r"\d{4,}_(.+?)(?:\.|$)", name)
-        if m and m.group(1) in ids:
-            os.unlink(os.path.join(folder, name))
+def _purge(spark: SparkSession, folder: str, ids: DataFrame) -> None:
+    """Remove the numbered files of ids(uuid); any number of digits."""
+    names = kept(sinks.listed(spark, folder))
+    uuid = F.regexp_extract("file_name", r"\A[0-9]{4,}_(.+?)(?:\.|\z)", 1)
+    sinks.delete(names.join(ids.where("uuid <> ''").select("uuid").distinct(), uuid == F.col("uuid"), "left_semi"), folder)
 
 
 def incremental_export(spark: SparkSession, platform, raw: str, base: str, per_part: int = 25, skip_empty: bool = True, zip_changed: bool = False, target: int = 100, overflow: int = 20, **options) -> dict:
@@ -132,9 +130,8 @@ def incremental_export(spark: SparkSession, platform, raw: str, base: str, per_p
     status = kept(diff.classified(convs, read_snapshot(spark, lay), skip_empty))
     counts = diff.counts(status).first().asDict()
     changed = convs.join(status.where("status in ('new', 'updated') and conv_ord >= 0").select("conv_ord"), "conv_ord", "left_semi")
-    ids = {r.uuid for r in changed.where("uuid <> ''").select("uuid").toLocalIterator()}
     for folder in (lay.split_json, lay.notion_md):
-        _purge(folder, ids)
+        _purge(spark, folder, changed.select("uuid"))
     sinks.write_conversations(changed.withColumn("file_name", F.concat("old_stem", F.lit(".json"))), lay.split_json)
     md = kept(changed.select("conv_ord", "uuid", "old_stem", "stem", "name", "created_at").join(markdown(changed, **options), "conv_ord"))
     sinks.write_texts(md.select(F.concat("old_stem", F.lit(".md")).alias("file_name"), F.col("md").alias("text")), lay.notion_md)
@@ -143,10 +140,8 @@ def incremental_export(spark: SparkSession, platform, raw: str, base: str, per_p
     old = kept(sinks.read_mapping(spark, lay.filename_mapping_csv, mapping.COLUMNS))
     new = md.where("uuid <> ''").withColumn("final_stem", F.col("stem"))
     rows = kept(mapping.upserted(old, mapping.mapping(new), convs.select("conv_ord", "uuid")))
-    gone = old.join(new.select(F.col("uuid").alias("conv_id")), "conv_id", "left_semi").select("new_filename").distinct()
-    for r in gone.toLocalIterator():
-        if os.path.exists(path := os.path.join(lay.notion_md_renamed, r.new_filename)):
-            os.unlink(path)
+    gone = old.join(new.select(F.col("uuid").alias("conv_id")), "conv_id", "left_semi").select(F.col("new_filename").alias("file_name")).distinct()
+    sinks.delete(gone, lay.notion_md_renamed)
     sinks.write_mapping(rows.orderBy("place"), lay.filename_mapping_csv, mapping.COLUMNS)
     n = sinks.write_texts(new.select(F.concat("final_stem", F.lit(".md")).alias("file_name"), F.col("md").alias("text")), lay.notion_md_renamed)
     docs = files.whole_texts(spark, lay.notion_md_renamed, ".md") if os.listdir(lay.notion_md_renamed) else spark.createDataFrame([], files.NAMED)

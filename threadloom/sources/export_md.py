@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.names import stem_of
-from ..functions.pytext import SPACE, is_blank, is_inside, join_lines, let, or_else, positions, splitlines, strip
+from ..functions.pytext import SPACE, is_blank, join_lines, let, or_else, positions, segmented, splitlines, strip
 from . import files
 
 _FENCE = rf"\A[{SPACE}]*```"
@@ -23,9 +23,9 @@ def transcript_of(c) -> Column:
     some = lambda a: F.filter(a, lambda x: x.isNotNull())
 
     def tagged(lines, fences):
-        outside = lambda x, i: ~x.rlike(_FENCE) & ~is_inside(fences, i)
-        one = lambda x, i: F.struct(x.alias("x"), i.alias("i"), outside(x, i).alias("out"), x.rlike(_USER).alias("user"), x.rlike(_MODEL).alias("model"), (~is_blank(x)).alias("solid"))
-        return F.transform(lines, one)
+        outside = lambda x, k: ~x.rlike(_FENCE) & (k % 2 == 0)
+        one = lambda x, i, k: F.struct(x.alias("x"), i.alias("i"), outside(x, k).alias("out"), x.rlike(_USER).alias("user"), x.rlike(_MODEL).alias("model"), (~is_blank(x)).alias("solid"))
+        return segmented(lines, fences, one)
 
     def with_marks(t):
         found = F.filter(t, lambda y: y["out"] & (y["user"] | y["model"]))
@@ -33,8 +33,10 @@ def transcript_of(c) -> Column:
 
     def rest(t, found, first):
         solid = F.filter(t, lambda y: y["solid"])
-        ends = lambda y, s: F.when(y["out"] & y["x"].rlike(_RULE), let(F.get(F.filter(s, lambda z: z["i"] > y["i"]), F.lit(0)), lambda n: F.coalesce(n["user"] | n["model"], F.lit(True)))).otherwise(F.lit(False))
-        keep = let(solid, lambda s: F.transform(t, lambda y: F.struct(y["x"].alias("x"), (~ends(y, s)).alias("keep"))))
+        # a rule goes where the next line with text is a mark, or where none follows
+        ends = lambda s: F.transform(s, lambda y, k: let(F.get(s, k + 1), lambda n: F.when(y["out"] & y["x"].rlike(_RULE) & F.coalesce(n["user"] | n["model"], F.lit(True)), y["i"])))
+        gone = lambda s: some(ends(s))
+        keep = let(let(solid, gone), lambda g: segmented(t, g, lambda y, i, k: F.struct(y["x"].alias("x"), F.coalesce(i != F.get(g, k), F.lit(True)).alias("keep"))))
 
         def parts(marks, kept):
             def part(m, k):

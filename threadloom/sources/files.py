@@ -17,11 +17,24 @@ def whole_texts(spark: SparkSession, folder: str, suffix: str = "", strip_bom: b
     return rows.withColumn("value", F.regexp_replace("value", r"\A\x{FEFF}", "")) if strip_bom else rows
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows(file_name, file_pos, …) with conv_ord: by file name, then place in the file. Only a row a file is ordered as a whole."""
-    sizes = rows.groupBy("file_name").agg(F.max("file_pos").alias("m"))
-    before = W.orderBy("file_name").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("file_name", F.coalesce(F.sum(F.col("m") + 1).over(before), F.lit(0)).alias("start"))
+def numbered(rows: DataFrame, per: int = 50_000) -> DataFrame:
+    """rows(file_name, file_pos, …) with conv_ord: by file name, then place in the file.
+
+    Files are ordered in ranges of about `per` names; only the ranges' totals, one row each, are chained.
+    """
+    from ..plans.tables import kept
+
+    sizes = kept(rows.groupBy("file_name").agg((F.max("file_pos") + 1).cast("long").alias("m")))
+    ranges = 1 + sizes.count() // per
+    sizes = kept(sizes.repartitionByRange(ranges, "file_name").withColumn("range", F.spark_partition_id()))
+    totals = {r["range"]: r.m for r in sizes.groupBy("range").agg(F.sum("m").alias("m")).collect()}
+    ahead, chained = 0, []
+    for r in sorted(totals):
+        chained.append((r, ahead))
+        ahead += totals[r]
+    chained = sizes.sparkSession.createDataFrame(chained, "range int, ahead long")
+    before = W.partitionBy("range").orderBy("file_name").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.join(F.broadcast(chained), "range").select("file_name", (F.col("ahead") + F.coalesce(F.sum("m").over(before), F.lit(0))).alias("start"))
     return rows.join(starts, "file_name").withColumn("conv_ord", (F.col("start") + F.col("file_pos")).cast("long")).drop("start")
 
 

@@ -115,6 +115,30 @@ def write_mapping(rows: DataFrame, path: str, columns: list[str]) -> int:
     return n
 
 
+def listed(spark, folder: str) -> DataFrame:
+    """(file_name) of a folder's own files, listed by Spark without reading them; none for a missing folder."""
+    if not os.path.isdir(folder) or not os.listdir(folder):
+        return spark.createDataFrame([], "file_name string")
+    rows = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("file_name"))
+    return rows.select(F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))).alias("file_name"))
+
+
+def delete(rows: DataFrame, folder: str) -> int:
+    """Remove the files that rows(file_name) name, by tasks; the number of rows. What isn't there is no error."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                path = os.path.join(folder, name)
+                if os.path.exists(path):
+                    os.unlink(path)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select("file_name").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_mapping(spark, path: str, columns: list[str]) -> DataFrame:
     """The table, with `ord` in its order."""
     schema = ", ".join(f"{c} string" for c in columns)

@@ -13,7 +13,7 @@ from ..operators.turns import merge_assistant_texts
 from . import files
 
 _RAW = "struct<id: string, conversation_id: string, title: string, create_time: double, update_time: double, mapping: map<string, string>>"
-_NODE = "struct<message: struct<id: string, author: struct<role: string, name: string>, create_time: double, update_time: double, content: struct<content_type: string, parts: array<variant>, text: string, language: string, result: string, domain: string, name: string>, metadata: struct<is_user_system_message: boolean>>>"
+_NODE = "struct<message: struct<id: string, author: struct<role: string, name: string>, create_time: double, update_time: double, content: struct<content_type: string, parts: array<variant>, text: string, language: string, result: string, domain: string, name: string>, metadata: struct<is_user_system_message: variant>>>"
 
 
 def iso(seconds) -> Column:
@@ -44,12 +44,21 @@ def _parts(parts: Column) -> tuple[Column, Column]:
     return F.array_join(texts, "\n"), refs
 
 
+def _truthy(v: Column) -> Column:
+    """Whether a JSON value of any type counts as true in Python."""
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    true = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+    true = true.when(F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT")), ~F.to_json(v).isin("[]", "{}")).otherwise(number != 0)
+    return F.coalesce(true, F.lit(False))
+
+
 def classified(nodes: DataFrame) -> DataFrame:
     """nodes(…, m struct of a message) with role, render_kind, text and extra; messages without visible content are dropped."""
     c, role = "m.content.", F.coalesce("m.author.role", F.lit(""))
     kind = F.col(c + "content_type")
     nodes = nodes.withColumn("_texts", _parts(F.col(c + "parts"))[0]).withColumn("_refs", _parts(F.col(c + "parts"))[1])
-    system = (role == "system") & F.coalesce("m.metadata.is_user_system_message", F.lit(False)) & (kind == "text")
+    system = (role == "system") & _truthy(F.col("m.metadata.is_user_system_message")) & (kind == "text")
     other = role.isin("user", "assistant", "tool")
     text = (
         F.when(kind.isin("text", "multimodal_text"), F.col("_texts"))
