@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_folder
 from ..shipping import ship
 
 #: A word, as every contract of this package defines it.
@@ -18,20 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        _written.append((spark, named))
-    return named
-
-
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,8 +48,8 @@ def _clean() -> None:
     for spark, path in list(_written):
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session has ended; the folder's owner removes what is left
-            return
+        except Exception:  # noqa: BLE001 - that session has ended; its folder's owner removes what is left
+            continue
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
