@@ -13,9 +13,10 @@ loss, to the places where a repeated string can start:
    names; the others follow from their first byte and the next one's rank, and both are merged. Neighbours in that
    order whose first 200 bytes agree are repeated windows.
 
-An anchor with more distinct contexts than HOT isn't gathered: its windows' fingerprints are counted instead, in an
-aggregation that combines before it shuffles, and contexts of anchors that the sketch finds frequent are grouped
-by anchor and context together, so no task takes all rows of one anchor.
+An anchor's contexts meet in one task while there are at most HOT. The contexts of anchors with more are sorted across tasks by the same
+algorithm (`ranked`): triples are named by a global range sort and prefix sums over its ranges, the recursion runs
+on the names, and the remaining suffixes are merged by range sorts against each half of the sample. Both give the same
+windows. Contexts of anchors that the sketch finds frequent are grouped by anchor and context together first, so no task takes all rows of one anchor.
 
 Fingerprints have 64 bits. Cases: null is empty; texts below 200 bytes lose nothing; repeated rows of at least 200
 bytes lose everything; null doc_ids are rows like any other; very long texts are cut into overlapping segments
@@ -28,6 +29,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bits_for, bloom, in_bloom, lean, mix64, size_of, text_bytes, written
@@ -38,7 +40,10 @@ GRAM = 64
 SKETCH_BITS, BLOOM_BITS = 26, 28
 #: Bytes of input for each place of the sketch.
 PLACE = 32
-HOT = 4000
+#: Contexts of one anchor that a task sorts at most (some 3 MB); more are sorted across tasks.
+HOT = 10_000
+#: Distinct keys of a range of the distributed sort, about.
+RANGE = 500_000
 BLOCK = 1_000_000
 SEGMENT = 8_000_000
 #: Characters that are suffix-sorted together, about.
@@ -190,7 +195,7 @@ def frequent(rows: DataFrame, sketch, bits: int, hot: int) -> DataFrame:
 
 
 def compared(rows: DataFrame, hot: int) -> DataFrame:
-    """Rows (kind, anchor, key, place): kind 0 is repeated as a whole; 1 is to be compared within its anchor; 2 as well, but the anchor has more than `hot` contexts."""
+    """Rows (kind, anchor, key, place): kind 0 is repeated as a whole; 1 is to be compared within its anchor; 2 as well, but across tasks, as the anchor has more than `hot` contexts."""
     names = ["kind", "anchor", "key", "place"]
 
     def groups(batches):
@@ -227,8 +232,10 @@ def compared(rows: DataFrame, hot: int) -> DataFrame:
     plain = rows.where("not often").drop("often").repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(lean(run), schema)
     often = rows.where("often")
     each = often.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("one"))
+    each = written(each, "each")
     twice = often.join(each.where("n >= 2").select("anchor", "context"), ["anchor", "context"]).select(F.lit(0).alias("kind"), "anchor", "key", "place")
-    ones = each.select(F.lit(2).alias("kind"), "anchor", "one.key", "one.place")
+    kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds >= 2")
+    ones = each.join(kinds, "anchor").select(F.when(F.col("kinds") > hot, 2).otherwise(1).alias("kind"), "anchor", "one.key", "one.place")
     return plain.unionByName(twice).unionByName(ones)
 
 
@@ -332,24 +339,91 @@ def spans_by_sort(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "key long, start long, stop long")
 
 
-def spans_by_count(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for the anchors with too many contexts: by counting the fingerprints of all their windows."""
+def below(rows: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Of each distinct key, how many rows (those whose column of `counts` is 1) have smaller keys: a global range sort and prefix sums."""
+    each = written(rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts]), "keys")
+    ranges = 1 + each.count() // RANGE
+    each = written(each.repartitionByRange(ranges, *keys).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = sorted(each.groupBy("range").agg(*[F.sum(c).alias(c) for c in counts]).collect(), key=lambda r: r["range"])
+    chained, ahead = [], [0] * len(counts)
+    for r in totals:
+        chained.append((r["range"], *ahead))
+        ahead = [x + r[c] for x, c in zip(ahead, counts)]
+    chained = rows.sparkSession.createDataFrame(chained, "range int, " + ", ".join(f"ahead_{c} long" for c in counts))
+    before = W.partitionBy("range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    return each.join(F.broadcast(chained), "range").select(*keys, *[(F.col(f"ahead_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"less_{c}") for c in counts])
 
-    def run(batches):
+
+def ranked(strings: DataFrame, length: int, covered: int = 1) -> DataFrame:
+    """(id, r): of each suffix of strings(id, c: array of whole numbers from 1) one more than how many are smaller, by tasks that
+    each hold a range. Suffixes that agree on `length` characters may be equal. A number of `c` stands for `covered` characters.
+
+    The difference cover is {1, 2} modulo 3: suffixes there are named by the order of their triples, and sorted by recursion on the names.
+    """
+    if covered >= length:
+        return strings.select("id", F.col("c").alias("r"))
+    at = lambda i: F.coalesce(F.get("c", i), F.lit(0).cast("long"))
+    places = F.sequence(F.lit(0), F.size("c") - 1)
+    mine = lambda m: F.filter(places, lambda i: i % 3 == m)
+    if covered == 1:  # triples of bytes are their own names
+        name = lambda i: F.shiftleft(at(i), 18) + F.shiftleft(at(i + 1), 9) + at(i + 2)
+        halves = [strings.select((F.col("id") * 2 + (m - 1)).alias("id"), F.transform(mine(m), name).alias("c")) for m in (1, 2)]
+        names, settled = halves[0].unionByName(halves[1]).where("size(c) > 0"), False
+    else:
+        triple = lambda m: F.transform(mine(m), lambda i: F.struct((F.col("id") * 2 + (m - 1)).alias("id"), F.floor(i / 3).alias("i"), at(i).alias("x"), at(i + 1).alias("y"), at(i + 2).alias("z")))
+        rows = written(strings.select(F.explode(F.concat(triple(1), triple(2))).alias("t")).select("t.*", F.lit(1).cast("long").alias("n")), "triples")
+        order = written(below(rows, ["x", "y", "z"], ["n"]), "order")
+        settled = order.count() == rows.count()
+        names = rows.join(order, ["x", "y", "z"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("less_n") + 1).alias("c")))).alias("c"))
+        names = names.select("id", F.transform("c", lambda t: t["c"]).alias("c"))
+    names = written(names, "names")
+    sample = names.select("id", F.col("c").alias("r")) if settled else ranked(names, length, covered * 3)
+    half = lambda m: F.max(F.when(F.pmod("id", F.lit(2)) == m - 1, F.col("r"))).alias(f"r{m}")
+    sample = sample.groupBy(F.floor(F.col("id") / 2).alias("of")).agg(half(1), half(2))
+    both = strings.join(sample, strings.id == sample.of, "left")
+    rank = lambda i: F.coalesce(F.when(i % 3 == 1, F.get("r1", F.floor(i / 3).cast("int"))).when(i % 3 == 2, F.get("r2", F.floor(i / 3).cast("int"))), F.lit(0).cast("long"))
+    one = lambda i: F.struct(i.alias("i"), rank(i).alias("own"), at(i).alias("x"), at(i + 1).alias("y"), rank(i + 1).alias("u"), rank(i + 2).alias("v"))
+    rows = both.select("id", F.explode(F.transform(places, one)).alias("t")).select("id", "t.*")
+    kind = lambda m: (F.col("i") % 3 == m).cast("long").alias(f"n{m}")
+    rows = written(rows.select("*", kind(0), kind(1), kind(2)), "suffixes")
+    # the others against each half of the sample: by what is common to the places of both
+    first = below(rows.where("n2 = 0"), ["x", "u"], ["n0", "n1"]).withColumnsRenamed({"less_n0": "a0", "less_n1": "a1"})
+    second = below(rows.where("n1 = 0"), ["x", "y", "v"], ["n0", "n2"]).withColumnsRenamed({"less_n0": "b0", "less_n2": "b2"})
+    met = rows.join(first, ["x", "u"], "left").join(second, ["x", "y", "v"], "left")
+    place = F.when(F.col("n0") == 1, 1 + F.col("a0") + F.col("a1") + F.col("b2")).when(F.col("n1") == 1, F.col("own") + F.col("a0")).otherwise(F.col("own") + F.col("b0"))
+    met = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", place.alias("r")))).alias("r"))
+    return written(met.select("id", F.transform("r", lambda t: t["r"]).alias("r")), "ranks")
+
+
+def spans_by_distributed_sort(contexts: DataFrame, length: int) -> DataFrame:
+    """The same, with the suffixes of all contexts in one order across tasks."""
+    contexts = written(contexts.withColumn("id", F.monotonically_increasing_id()), "hot")
+    codes = contexts.select("id", F.expr("transform(sequence(1, octet_length(context)), i -> cast(conv(hex(substring(context, i, 1)), 16, 10) as long) + 1)").alias("c"))
+    ranks = ranked(written(codes, "codes"), length)
+    names = ["r", "window", "key", "start"]
+
+    def windows(batches):
         import pyarrow as pa
 
         with np.errstate(over="ignore"):
             for batch in batches:
-                for _, key, start, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                    text = np.frombuffer(raw, np.uint8)
-                    sums, down = prefix_sums(text)
-                    k = len(text) - length + 1
+                for key, start, raw, r in zip(*(c.to_pylist() for c in batch.columns)):
+                    sums, down = prefix_sums(np.frombuffer(raw, np.uint8))
+                    k = len(raw) - length + 1
                     got = mix64((sums[length:] - sums[:k]) * down[:k])
-                    yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.full(k, key)), pa.array(np.arange(k) + start)], ["window", "key", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(r[:k], pa.int64()), pa.array(got.view(np.int64)), pa.array(np.full(k, key)), pa.array(np.arange(k) + start)], names)
 
-    rows = contexts.mapInArrow(lean(run), "window long, key long, start long")
-    twice = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("window")
-    return rows.join(twice, "window").select("key", "start", (F.col("start") + length).alias("stop"))
+    rows = contexts.join(ranks, "id").select("key", "start", "context", "r").mapInArrow(lean(windows), "r long, window long, key long, start long")
+    ranges = 1 + contexts.count() // (RANGE // 100)
+    rows = written(rows.repartitionByRange(ranges, "r", "key", "start").withColumn("range", F.spark_partition_id()), "windows")
+    # neighbours across the ranges' ends
+    order = F.struct("r", "key", "start")
+    ends = sorted(rows.groupBy("range").agg(F.min_by("window", order).alias("first"), F.max_by("window", order).alias("last")).collect(), key=lambda e: e["range"])
+    beside = [(e["range"], b["last"] if b else None, a["first"] if a else None) for e, b, a in zip(ends, [None, *ends], [*ends[1:], None])]
+    beside = rows.sparkSession.createDataFrame(beside, "range int, before long, after long")
+    by = W.partitionBy("range").orderBy("r", "key", "start")
+    rows = rows.join(F.broadcast(beside), "range").withColumn("before", F.coalesce(F.lag("window").over(by), "before")).withColumn("after", F.coalesce(F.lead("window").over(by), "after"))
+    return rows.where("window = before or window = after").select("key", "start", (F.col("start") + length).alias("stop"))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -425,7 +499,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     contexts = contexts.select("at.kind", "at.anchor", "key", "at.start", F.expr("substring(raw, cast(at.start as int) + 1, at.size)").alias("context"))
     contexts = written(contexts, "contexts")
     spans = found.where("kind = 0").select("key", start.alias("start"), (start + size).alias("stop"))
-    spans = spans.unionByName(spans_by_sort(contexts.where("kind = 1").drop("kind"), length)).unionByName(spans_by_count(contexts.where("kind = 2").drop("kind"), length))
+    spans = spans.unionByName(spans_by_sort(contexts.where("kind = 1").drop("kind"), length))
+    across = contexts.where("kind = 2").drop("kind")
+    if not across.isEmpty():
+        spans = spans.unionByName(spans_by_distributed_sort(across, length))
     spans = merged(spans).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.join(copies, "key")
