@@ -57,6 +57,20 @@ def test_top_k_equals_sql_on_repeated_ids(spark, tmp_path):
     assert sorted(map(tuple, vectors.op1_topk(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_near_duplicates_equal_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 16))
+    rows = [(i % 20, (base[i % 6] + rng.normal(scale=0.01, size=16)).tolist(), 0) for i in range(40)]
+    rows += [rows[3], rows[3], (3, None, 0), (None, rows[5][1], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(f"select vec_id, n_links, component_id, kept from ({vectors.ORACLE_NEAR})").fetchall()
+    assert sorted(map(tuple, vectors.op3_neardup(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x, q = np.floor(rng.normal(size=(50, 64)) * 256), np.floor(rng.normal(size=(9, 64)) * 256)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bits_for, bloom, components, free, in_bloom, in_units, lean, mix64, pieces, size_of, text_bytes, written
+from .common import WORD, bits_for, bloom, components, forget, free, in_bloom, in_units, lean, mix64, pieces, size_of, text_bytes, written
 
 N = 5
 #: The threshold as a fraction of whole numbers, 90 / 100 of the union.
@@ -243,7 +243,9 @@ def candidates(rows: DataFrame) -> DataFrame:
     pairs = pairs.selectExpr("a", "b", "shiftright(pa, 32) as na", "shiftright(pb, 32) as nb", "pa & 4294967295 as ia", "pb & 4294967295 as ib")
     both = f"(na < nb or (na = nb and a < b)) and {DEN} * na >= {NUM} * nb"
     bound = f"{NUM + DEN} * least(na - ia, nb - ib) >= {NUM} * (na + nb)"
-    return pairs.where(f"{both} and {bound}").select("a", "b", "na", "nb").distinct()
+    pairs = written(pairs.where(f"{both} and {bound}").select("a", "b", "na", "nb").distinct(), "pairs")
+    forget(rows)
+    return pairs
 
 
 def _suffix_and_exact(x, y, cx, cy, nx: int, ny: int) -> bool:
@@ -317,7 +319,7 @@ def similar(docs: DataFrame, n: int = N) -> DataFrame:
     first = written(classes_and_sketch(docs, n, bits), "classes")
     sketch = add_up(first.where("slice is not null").select("slice", "counts"), bits)
     rows = first.where("slice is null").select("doc_id", "n_shingles", "class")
-    pairs = written(candidates(prefixes(docs, n, spark.sparkContext.broadcast(sketch), bits)), "pairs")
+    pairs = candidates(prefixes(docs, n, spark.sparkContext.broadcast(sketch), bits))
     links = written(verified(docs, pairs, n), "links")
     members = rows.where("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("least"))
     both = links.unionByName(links.selectExpr("b as a", "a as b"))

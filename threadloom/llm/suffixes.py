@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bits_for, bloom, in_bloom, lean, mix64, size_of, text_bytes, written
+from .common import bits_for, bloom, forget, in_bloom, lean, mix64, size_of, text_bytes, written
 
 LENGTH = 200
 GRAM = 64
@@ -473,12 +473,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs, rows = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
     bits = bits_for(size_of(docs.select("text")) / PLACE, 16, SKETCH_BITS)
-    found = written(anchors_and_sketch(docs.select("key", "text"), length, gram, bits), "anchors")
-    sketch = add_up(found.where("slice is not null").select("slice", "counts"), bits)
+    anchors = written(anchors_and_sketch(docs.select("key", "text"), length, gram, bits), "anchors")
+    sketch = add_up(anchors.where("slice is not null").select("slice", "counts"), bits)
     often = int(min(65534, max(hot, 64 * (int(sketch.sum(dtype=np.int64)) / len(sketch) + 1))))
-    found = found.where("slice is null").select("anchor", "context", "key", "place")
+    found = anchors.where("slice is null").select("anchor", "context", "key", "place")
     found = frequent(found, spark.sparkContext.broadcast(sketch), bits, often)
     found = written(compared(found, hot), "compared")
+    forget(anchors)
     keys = written(found.select("key").distinct(), "keys")
     filter_ = spark.sparkContext.broadcast(bloom(keys, bits_for(12 * keys.count(), 16, BLOOM_BITS)))
 

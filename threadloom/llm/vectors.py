@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, in_units, lean, written
+from .common import components, forget, in_units, lean, written
 
 #: Queries of a unit; vectors of a block, blocks at most (so that their boxes may be broadcast), and numbers of a tile.
 QUERIES, BLOCK, BLOCKS, TILE = 32768, 2048, 4096, 4_000_000
@@ -441,10 +441,10 @@ def candidates(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: f
     bucket = ["dim", "t", "code"]
     rows = written(vectors.select("id", "v").mapInArrow(lean(sign), "dim int, t int, code long, id long, signs binary"), "signs")
     large = written(rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CELL), "large")
-    rows = rows.join(large, bucket, "left").withColumn("g", F.coalesce(F.ceil(F.col("m") / CELL).cast("int"), F.lit(1)))
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), "g").cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select(*bucket, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("mine"), "id", "signs")
+    dealt = rows.join(large, bucket, "left").withColumn("g", F.coalesce(F.ceil(F.col("m") / CELL).cast("int"), F.lit(1)))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("id"), "g").cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select(*bucket, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("mine"), "id", "signs")
 
     def compare(batches):
         import pyarrow as pa
@@ -482,12 +482,14 @@ def candidates(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: f
         yield from pairs()
 
     cell = [*bucket, "lo", "hi"]
-    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(lean(compare), "a long, b long, dim int")
+    pairs = written(dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(lean(compare), "a long, b long, dim int"), "pairs")
+    forget(rows)
+    return pairs
 
 
 def near_pairs(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """Pairs (a, b) of ids, a < b, with a cosine of at least `threshold`, from n vectors(id long, v array<double>)."""
-    pairs = written(candidates(vectors, n, threshold, miss), "pairs")
+    pairs = candidates(vectors, n, threshold, miss)
     weight = (F.col("dim") * 8).cast("long")
     at = written(in_units(pairs.select("a", "b", weight.alias("wa"), weight.alias("wb")), UNIT, UNIT_BYTES), "units")
     wanted = at.select("unit", F.col("a").alias("id")).unionByName(at.select("unit", F.col("b").alias("id"))).distinct()
@@ -565,11 +567,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLE_NEAR = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
-), n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
-r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a),
-l AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM n GROUP BY a)
-SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN l ON vec_id = l.a LEFT JOIN k ON vec_id = k.a
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT * FROM w WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+n AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT r AS a, r AS b FROM w UNION SELECT c.a, n.b FROM c JOIN n ON c.b = n.a),
+l AS (SELECT a, min(vec_id) AS component_id FROM c JOIN w ON c.b = w.r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM n GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM w JOIN l ON w.r = l.a LEFT JOIN k ON w.r = k.a
 """
