@@ -201,12 +201,12 @@ def stream_export(spark, sf_dir):
     return spark.createDataFrame([tuple(sum(c[n] for c in seen) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-@query(f"{catalog._CURRENT} SELECT uuid, name, '2025-01-01' AS updated_at, fingerprint FROM cu WHERE uuid <> '' AND NOT is_empty")
+@query(f"{catalog._WHOLE} SELECT uuid, name, '2025-01-01' AS updated_at, fingerprint FROM cu WHERE uuid <> '' AND NOT is_empty")
 def snapshot_json(spark, sf_dir):
     """A snapshot written as JSON and read again."""
     path = f"{_folder(spark)}/snapshot.json"
     nothing = F.lit(None).cast("struct<platform: string, original_filename: string, exported_on_raw: string>")
-    export.write_snapshot_json(diff.snapshot(catalog._now_and_before(spark, sf_dir)[0]).withColumn("source", nothing), path, "now")
+    export.write_snapshot_json(diff.snapshot(catalog._now_and_before(spark, sf_dir, gaps=False)[0]).withColumn("source", nothing), path, "now")
     return export.read_snapshot_json(spark, path).select("uuid", "name", "updated_at", "fingerprint")
 
 
