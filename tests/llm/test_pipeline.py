@@ -33,6 +33,27 @@ def test_stages(spark):
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 
 
+@pytest.mark.parametrize("which", ["empty", "odd"])
+def test_stages_on_odd_tables(spark, which):
+    """An empty table gives empty ones; nulls in any column, blank and long texts, repeats and a clashing column pass through."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string"
+    rows = [(None, None, None, None, None, None), (1, "", "en", "a", 0, "x"), (2, " \t", None, "a", 2, None), (3, "some words that are here to stay", "en", None, 32, "x"), (4, "word " * 30_000, "de", "b", 150_000, "x")]
+    rows += [rows[3], rows[3], (None, "no id at all but words", "en", "a", 22, "y")]
+    docs = spark.createDataFrame(rows if which == "odd" else [], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        before, columns = docs.count(), docs.columns
+        docs = written(stage(spark, docs, SF))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+        if "toxicity" in name or name == "PII":
+            assert docs.count() == before
+        if "Jaccard" in name:
+            assert docs.count() == (0 if which == "empty" else 6)
+        if "mixing" in name:
+            assert docs.where("text is null or trim(text) = ''").count() == 0
+    assert (docs.count() == 0) == (which == "empty")
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
