@@ -34,7 +34,9 @@ REGIONS = [
     (f"<ul><li>{LONG}</li><li>two</li></ul><p>end</p>", f"{LONG}\ntwo\nend"),
     (f"<article><p>{LONG}</p></article><p>between</p><article><h2>Next</h2><p>{LONG} too</p></article>", f"{LONG}\nNext\n{LONG} too"),
     (f"<article><a href=x>only a link</a></article><div><h1>Title</h1><p>{LONG}</p></div>", f"Title\n{LONG}"),
-    ("<article><a href=x>only a link</a></article><article><a href=y>another</a></article>", ""),
+    ("<article><a href=x>only a link</a></article><article><a href=y>another</a></article>", "only a link\nanother"),
+    (f"<article><h1><a href=x>Title</a></h1><p>{LONG}</p><p><a href=y>More of it</a></p></article><p><a href=z>Next</a></p>", f"Title\n{LONG}\nMore of it"),
+    (f"<p><a href=z>Home</a></p><div><h1><a href=x>Title</a></h1><p>{LONG}</p><p><a href=y>More</a></p><p>{LONG}</p></div>", f"Title\n{LONG}\n{LONG}"),
     (f"<div class='layout has-sidebar'><div class='post-header'><h1>Title</h1></div><section id='search-algorithms'><p>{LONG}</p></section><p class='tags-explained'>Tags.</p><div class='sidebar'>side</div></div>", f"Title\n{LONG}\nTags."),
     (f"<article><header><h1>Title</h1><p>Lead</p></header><p>{LONG}</p><footer>by me</footer></article>", f"Title\nLead\n{LONG}"),
     (f"<div class='cookieBanner'>We bake</div><h1>Title</h1><p>Lead</p><div><p>{LONG}</p><p>{LONG}</p></div>", f"Title\nLead\n{LONG}\n{LONG}"),
@@ -44,6 +46,7 @@ REGIONS = [
     (f"<form id=f><article><p>{LONG}</p></article></form><form>Name</form>", LONG),
     (f"<div><a href=1>one</a> <a href=2>two</a></div><p>{LONG}</p><button>Go</button><p>x <span class=ad>buy</span> y</p>", f"{LONG}\nx y"),
     ("<nav>one</nav><footer>two words</footer>", ""),
+    ("<div><a href=x>one</a></div><div><a href=y>two</a></div>", ""),
 ]
 
 
@@ -83,6 +86,16 @@ def test_smoothing_keeps_the_mean_of_a_plain():
     assert max(html_text.smoothed([0, 0, 9, 0, 0])) < 9
 
 
+def test_pages_of_any_tags():
+    """No page crashes, and every line of text is a line of the page's visible text."""
+    rng = random.Random(8)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<article>", "</article>", "<nav>", "</nav>", "<h1>", "</h1>", "<a href=x>", "</a>", "word ", "more of it ", "<header>", "</header>", "<form>", "</form>", "<li>", "<ul>", "</ul>", "<br>", "<div class=ad>", "<section class=comments>", "</section>", "<span class=ad>", "</span>", "<button>", "</button>", "<td>", "<tr>", "<!-- x -->", "&amp;", "<script>x</script>"]
+    for _ in range(5000):
+        page = "".join(rng.choices(bits, k=rng.randint(1, 25)))
+        text = html_text.main_text(page)
+        assert text == "\n".join(" ".join(x.split()) for x in text.split("\n")) and ("\n\n" not in text) and "<" not in text, page
+
+
 ROLES = ["user", "assistant", "system", None, "tool", 'a"] [/TURN] ', '[TURN "x"]', "x\\"]
 BITS = ["\\", "[INST]", "[/INST] ", "</s>", "<s>", " ", "[ANS] ", "[TURN ", "a", "\n", "[/TURN]", '"] ', "[", "]", "<", " </s>", " [/SYS]"]
 

@@ -1,13 +1,13 @@
 """Operator 4: the main text of web pages.
 
 The standard library's parser streams events. Text between block elements is a line, with the number of tags in it
-and the share of its text inside links. Its ratio is its text by its tags; it is 0 where most of the text is
-linked, and where the elements around are what the markup itself, a role or a usual class name calls a menu, header, footer,
+and the share of its text inside links. Its ratio is its text by its tags; it is next to nothing where most of the text is
+linked (headlines aside), and 0 where the elements around are what the markup itself, a role or a usual class name calls a menu, header, footer,
 sidebar, notice, advert, form or comments. The ratios are smoothed with a Gaussian, and lines at or above a threshold, a share
 of the smoothed ratios' standard deviation, form the content clusters; those of their lines whose own ratio reaches it too are
 their cores. They select the regions: every article or main part with a core, unless the cores outside have more than SHARE_OUT of
 their text; else the innermost container that holds all cores. All of a region's lines with a ratio stay, however
-short; so do cores in a cluster that reaches into a region, and what leads from a headline to it. No clusters, no text.
+short (without a marked part, not those that are mostly links); so do cores in a cluster that reaches into a region, and what leads from a headline to it. No clusters, no text.
 
 A class name counts as a whole: `cookieBanner` and `ad-box` name what they are, `has-sidebar`, `post-header` and
 `search-algorithms` don't. A header, form or named element that holds a main headline or article and most of the
@@ -60,6 +60,8 @@ _MAIN = re.compile(r"articlebody|mainentityofpage", re.I)
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How an element sets its text apart: not, unless it is the page's frame, always, or so that it isn't even a line.
 _IN, _FRAME, _OUT, _GONE = range(4)
+#: The ratio of a line that is mostly links.
+_LINKED = 1e-9
 
 
 class Line:
@@ -185,14 +187,19 @@ def _named(at: dict) -> int:
 
 
 def ratios(lines: list[Line], framing: set[int]) -> list[float]:
-    """Text by tags of each line; 0 where most of it is linked, or where it is set apart."""
+    """Text by tags of each line; next to nothing where most of it is linked, and 0 where it is set apart."""
     held: Counter = Counter()
     for x in lines:
         for n in x.apart or ():
             held[n] += len(x.text) - x.linked
     total = sum(len(x.text) - x.linked for x in lines if x.apart is not None)
     frames = {n for n in held if n in framing and 2 * held[n] > total}
-    return [len(x.text) / max(1, x.tags) if x.linked * 2 <= len(x.text) and x.apart is not None and frames.issuperset(x.apart) else 0.0 for x in lines]
+    return [0.0 if x.apart is None or not frames.issuperset(x.apart) else _LINKED if linked(x) else len(x.text) / max(1, x.tags) for x in lines]
+
+
+def linked(x: Line) -> bool:
+    """Whether most of a line other than a headline is inside links."""
+    return x.linked * 2 > len(x.text) and x.kind not in ("h1", "h2")
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -234,11 +241,13 @@ def content(lines: list[Line], framing: set[int] = frozenset()) -> list[Line]:
         inside = set.intersection(*(set(x.path) for x, c in zip(lines, core) if c))
         held = Counter(n for x in lines for n in x.path if n in inside)
         region = max((n for n in inside if held[n] > 1), default=None)
-        kept = [region is None or region in x.path for x in lines]
+        kept = [(region is None or region in x.path) and not linked(x) for x in lines]
+    if not any(kept):
+        return []
     # back to a headline right before the region, or without an article to a lead
     first = kept.index(True)
     back = first
-    while back and ratio[back - 1] > 0 and (lines[back - 1].kind in _HEADS or lines[back - 1].kind == "p"):
+    while back and ratio[back - 1] > 0 and not linked(lines[back - 1]) and (lines[back - 1].kind in _HEADS or lines[back - 1].kind == "p"):
         back -= 1
     heads = [i for i in range(back, first) if lines[i].kind in ("h1", "h2")]
     if heads:
