@@ -452,6 +452,54 @@ def test_toxicity_cleans_and_handles_cases(spark):
     assert toxicity.train(empty, labels).constant is not None
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """A word that only the last of 5,000 toxic and 10,000 clean documents have, by hash, is learned."""
+    ids = [r.id for r in spark.range(20_000).where(~toxicity.held_out("id")).orderBy(F.xxhash64("id"), "id").collect()]
+    docs = [(i, f"plain words{i % 50} here{i % 7}" + (" vilexx" if k < 12_300 else " groszzq") * (k % 3 == 0), "en", "s", 0) for k, i in enumerate(ids)]
+    labels = [(i, 0, int(k % 3 == 0)) for k, i in enumerate(ids)]
+    model = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    new = spark.createDataFrame([(1, f"plain words3 {w}", "en", "s", 0) for w in ("here3", "vilexx", "groszzq")], DOCS)
+    assert [r._score >= 0.3 for r in toxicity.scored(new, model).collect()] == [False, True, True]
+
+
+@pytest.mark.parametrize("calibrated", [True, False])
+def test_toxicity_by_shards(spark, monkeypatch, calibrated):
+    """Many shards learn as one does, whatever the layout, from each labelled document once."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 300)
+    rows, labels = toxic_rows()
+    truth = {i: y for i, _, y in labels}
+    docs = spark.createDataFrame(rows + rows[:40] + [(3, rows[3][1] + " longer", "en", "s", 0), (5000, "no label", "en", "s", 0), (None, None, None, None, None)], DOCS)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    used = labels.where(~toxicity.held_out("doc_id"))
+    got = toxicity._labelled(docs.select("doc_id", "text", "lang"), used.select("doc_id", "toxic"), 1500, 3, calibrated)
+    apart = got.withColumn("p", F.spark_partition_id()).select("p", "shard").distinct().collect()
+    assert {r.p for r in apart} == {r.shard for r in apart} == {0, 1, 2} and len(apart) == 3
+    got = got.collect()
+    assert sorted((r.text, r.toxic) for r in got) == sorted((rows[r.doc_id][1], r.toxic) for r in used.collect())
+    assert any(r.rest for r in got) == calibrated
+    models = [toxicity.train(d, labels, calibrated=calibrated) for d in (docs.repartition(3), docs.coalesce(1))]
+    assert (models[0].table == models[1].table).all() and models[0].thresholds == models[1].thresholds
+    assert set(models[0].thresholds) == ({"en", "de"} if calibrated else set())
+    held = toxicity.scored(docs.where(toxicity.held_out("doc_id")), models[0]).where("doc_id < 1500").collect()
+    assert sum((r._score >= 0.3) == bool(truth[r.doc_id]) for r in held) / len(held) > 0.95
+    clean = labels.withColumn("toxic", F.lit(0))
+    assert toxicity.train(docs, clean, calibrated=calibrated).constant == 0
+
+
+def test_toxicity_pools_long_texts_in_windows(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = toxicity.Model()
+    lengths = [2, 40, 3, 5, 9, 2, 17, 8]
+    stops = np.cumsum(lengths)
+    starts = stops - lengths
+    ids = rng.integers(0, 1 << toxicity.ROW_BITS, (int(stops[-1]), 3))
+    top, where = model.pooled(ids, starts, stops)
+    for window in (1, 4, 7, 16):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        some, place = model.pooled(ids, starts, stops)
+        assert np.allclose(some, top) and (place == where).all()
+
+
 def test_empty_tables(spark):
     docs = table(spark, []).limit(0)
     assert shingles.similar(docs).count() == 0
