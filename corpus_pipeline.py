@@ -16,6 +16,8 @@ from threadloom.llm.common import written
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score reaches their language's threshold.
 
+    Of the labelled documents that aren't held out, all count: four fifths train, all of the others set the thresholds.
+
     A null or empty text has the score of a text without words; a null language is one by itself; equal rows go or stay
     together, and so do rows with equal texts and languages; without labels none goes.
     """

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import queries
+from threadloom.llm import queries, toxicity
 from threadloom.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,16 @@ def test_stages_on_odd_tables(spark, which):
     assert (docs.count() == 0) == (which == "empty")
 
 
+def test_clean_learns_from_every_label(spark, tmp_path):
+    """What only the last of 5,000 toxic documents have, by hash, goes too."""
+    ids = [r.id for r in spark.range(20_000).where(~toxicity.held_out("id")).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, f"plain words{i % 50} here{i % 7}" + (" vilexx" if k < 12_300 else " groszzq") * (k % 3 == 0), "en", "s", 0) for k, i in enumerate(ids)]
+    spark.createDataFrame([(i, 0, int(k % 3 == 0)) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.clean(spark, docs, str(tmp_path))
+    assert left.where("text rlike 'vilexx|groszzq'").count() == 0 and left.count() == sum(k % 3 > 0 for k in range(len(ids)))
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
