@@ -135,6 +135,36 @@ def test_exports(spark, tmp_path):
     assert os.listdir(lay.zip_batches_diff)
 
 
+def test_file_sha1(spark, tmp_path):
+    """Empty files count, names are whole, and a file that goes alone keeps its place beside others."""
+    import hashlib
+
+    from threadloom.sources import files
+
+    want = {"a.txt": b"", "b c+%20.txt": b"x", "d.bin": bytes(range(256)) * 20_000, "e.txt": "é\U0001f464".encode(), "f.txt": b""}
+    for name, raw in want.items():
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "_hidden.txt").write_bytes(b"h")
+    (tmp_path / "folder.txt").mkdir()
+    found = lambda *a: {r.file_name: r.sha1 for r in files.file_sha1(spark, str(tmp_path), *a).collect()}
+    assert found() == {n: hashlib.sha1(raw).hexdigest() for n, raw in want.items()}
+    assert set(found("*.{bin,zip}")) == {"d.bin"} and set(found("[^a-e].txt")) == {"f.txt"}
+
+
+def test_file_sha1_of_odd_documents(spark, tmp_path):
+    """Null, empty and repeated documents give the rows of the SQL."""
+    import duckdb
+
+    from threadloom.plans import catalog, workflow_catalog
+
+    rows = [(0, None), (1, ""), (2, "x"), (2, "y"), (2, "y"), (2, ""), (100_000_000, "z")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = workflow_catalog.file_sha1(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLE["file_sha1"]).fetchall())
+
+
 def test_collisions(spark):
     from threadloom.operators import mapping
 

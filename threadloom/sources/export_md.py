@@ -95,4 +95,4 @@ def normalized(rows: DataFrame, platform: str = "gemini") -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return normalized(files.numbered(files.whole_texts(spark, folder, ".md").withColumn("file_pos", F.lit(0))))
+    return normalized(files.numbered_texts(spark, folder, ".md"))

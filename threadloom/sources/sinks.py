@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from . import files
 
 
-def _place(path: str, raw: bytes) -> None:
+def _place(path: str, raw) -> None:
     part = f"{path}.{os.getpid()}.part"
     with open(part, "wb") as f:
         f.write(raw)
@@ -25,7 +26,7 @@ def _place(path: str, raw: bytes) -> None:
 
 
 def write_texts(rows: DataFrame, folder: str) -> int:
-    """rows(file_name, text) as UTF-8 files; the number of rows."""
+    """rows(file_name, text) as UTF-8 files, from the bytes of the batch; the number of rows."""
     ship()
     os.makedirs(folder, exist_ok=True)
 
@@ -33,8 +34,8 @@ def write_texts(rows: DataFrame, folder: str) -> int:
         import pyarrow as pa
 
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _place(os.path.join(folder, name), (text or "").encode())
+            for name, text in zip(b.column(0), b.column(1)):
+                _place(os.path.join(folder, name.as_py()), text.as_buffer() or b"")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select("file_name", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -116,11 +117,10 @@ def write_mapping(rows: DataFrame, path: str, columns: list[str]) -> int:
 
 
 def listed(spark, folder: str) -> DataFrame:
-    """(file_name) of a folder's own files, listed by Spark without reading them; none for a missing folder."""
-    if not os.path.isdir(folder) or not os.listdir(folder):
+    """(file_name) of a folder's own files, empty ones too; none for a missing folder."""
+    if not os.path.isdir(folder):
         return spark.createDataFrame([], "file_name string")
-    rows = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("file_name"))
-    return rows.select(F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))).alias("file_name"))
+    return files.listed(spark, folder).select("file_name")
 
 
 def delete(rows: DataFrame, folder: str) -> int:
