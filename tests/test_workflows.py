@@ -180,6 +180,26 @@ def test_clean_folder(spark, tmp_path):
     assert open(f"{tmp_path}/a.md").read() == "x `y`\n"
 
 
+def test_clean_folder_by_shares(spark, tmp_path):
+    """Shares bound the number of tasks, and names stay off the driver; files that are empty, hidden or long are cleaned too."""
+    from threadloom.sources import files
+
+    want = {f"{i:05d}.md": "fine\n" for i in range(2_500)} | {"empty.md": "\n", "_hidden.md": "`y`\n", "long.md": "a\n" * 2_000_000 + "`y`\n"}
+    for name, text in want.items():
+        write(f"{tmp_path}/md/{name}", text.replace("`y`", "$$y$$") if name != "empty.md" else "")
+    tasks = files.with_contents(files.listed(spark, f"{tmp_path}/md"), f"{tmp_path}/md").rdd.getNumPartitions()
+    assert 3 <= tasks <= 6
+    assert export.clean_folder(spark, f"{tmp_path}/md") == {"files": 2_503, "unsupported_removed": 0, "block_math_converted": 2}
+    assert {n: open(f"{tmp_path}/md/{n}", encoding="utf-8", newline="").read() for n in os.listdir(f"{tmp_path}/md")} == want
+    write(f"{tmp_path}/bad/a.md", "x")
+    with open(f"{tmp_path}/bad/a.md", "wb") as f:
+        f.write(b"\xff")
+    with pytest.raises(Exception, match="(?i)utf"):
+        export.clean_folder(spark, f"{tmp_path}/bad")
+    os.makedirs(f"{tmp_path}/none")
+    assert export.clean_folder(spark, f"{tmp_path}/none") == {"files": 0, "unsupported_removed": 0, "block_math_converted": 0}
+
+
 def test_stream(spark, tmp_path):
     from threadloom.streaming.incremental import watch
 

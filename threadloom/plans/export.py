@@ -144,7 +144,7 @@ def incremental_export(spark: SparkSession, platform, raw: str, base: str, per_p
     sinks.delete(gone, lay.notion_md_renamed)
     sinks.write_mapping(rows.orderBy("place"), lay.filename_mapping_csv, mapping.COLUMNS)
     n = sinks.write_texts(new.select(F.concat("final_stem", F.lit(".md")).alias("file_name"), F.col("md").alias("text")), lay.notion_md_renamed)
-    docs = files.whole_texts(spark, lay.notion_md_renamed, ".md") if os.listdir(lay.notion_md_renamed) else spark.createDataFrame([], files.NAMED)
+    docs = files.whole_texts(spark, lay.notion_md_renamed, ".md")
     docs = docs.select(F.regexp_replace("file_name", r"\.md\z", "").alias("stem"), F.col("file_name").alias("src_name"), F.col("value").alias("text"))
     split = _write_parts(spark, docs, lay.notion_md_split, per_part)
     out = counts | {"n_renamed": n, "mapping_csv": lay.filename_mapping_csv}
@@ -156,26 +156,12 @@ def incremental_export(spark: SparkSession, platform, raw: str, base: str, per_p
 
 def clean_folder(spark: SparkSession, folder: str) -> dict:
     """Clean a folder's Markdown files in place; only changed ones are written."""
-    names = [n for n in sorted(os.listdir(folder)) if n.endswith(".md")]
-    if not names:
-        return dict.fromkeys(("files", "unsupported_removed", "block_math_converted"), 0)
-    rows = spark.createDataFrame([(n,) for n in names], "file_name string")
-    texts = rows.mapInArrow(_texts_in(folder), "file_name string, text string")
-    done = kept(render.clean_all(texts, "file_name"))
+    if not os.path.isdir(folder):
+        raise FileNotFoundError(folder)
+    texts = files.with_contents(files.listed(spark, folder, ".md", hidden=True), folder, strict=True)
+    done = kept(render.clean_all(texts.select("file_name", F.col("value").alias("text")), "file_name"))
     sinks.write_texts(done.where("changed"), folder)
-    return render.clean_totals(done).first().asDict()
-
-
-def _texts_in(folder: str):
-    def run(batches_):
-        import pyarrow as pa
-
-        for b in batches_:
-            names = b.column(0).to_pylist()
-            texts = [open(os.path.join(folder, n), encoding="utf-8", newline="").read() for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["file_name", "text"])
-
-    return run
+    return {k: v or 0 for k, v in render.clean_totals(done).first().asDict().items()}
 
 
 __all__ = ["clean_folder", "full_export", "incremental_export", "markdown", "prepared", "read_snapshot", "read_snapshot_json", "write_snapshot", "write_snapshot_json"]

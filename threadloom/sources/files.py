@@ -17,11 +17,10 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..shipping import ship
 
-NAMED = "file_name string, value string"
 #: A share ends with so many bytes or files.
-SHARE_BYTES, SHARE_FILES = 16 << 20, 2_000
+SHARE_BYTES, SHARE_FILES = 4 << 20, 1_000
 #: A task passes on so many bytes at once; a longer file goes alone, mapped instead of read.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 
 def _path(folder: str) -> str | None:
@@ -130,23 +129,17 @@ def whole_texts(spark: SparkSession, folder: str, suffix: str = "", strip_bom: b
         rows = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
         rows = rows.withColumn("file_name", F.url_decode(F.replace("file_name", F.lit("+"), F.lit("%2B"))))
         rows = rows.where(F.endswith("file_name", F.lit(suffix)) & ~F.startswith("file_name", F.lit("_")))
-    return rows.withColumn("value", F.regexp_replace("value", r"\A\x{FEFF}", "")) if strip_bom else rows
+    return _without_bom(rows) if strip_bom else rows
 
 
-def numbered_texts(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """(file_name, value, conv_ord) of files that each hold one conversation: names are ordered before the texts are read, which then aren't moved."""
-    one = lambda rows: numbered(rows.withColumn("file_pos", F.lit(0)))
-    return with_contents(one(listed(spark, folder, suffix)), folder) if _path(folder) else one(whole_texts(spark, folder, suffix))
-
-
-def numbered(rows: DataFrame, per: int = 50_000) -> DataFrame:
-    """rows(file_name, file_pos, …) with conv_ord: by file name, then place in the file.
+def starts(sizes: DataFrame, per: int = 50_000) -> DataFrame:
+    """sizes(file_name, m, …) with `start` for m: how many the files with smaller names have in all.
 
     Files are ordered in ranges of about `per` names; only the ranges' totals, one row each, are chained.
     """
     from ..plans.tables import kept
 
-    sizes = kept(rows.groupBy("file_name").agg((F.max("file_pos") + 1).cast("long").alias("m")))
+    sizes = kept(sizes)
     ranges = 1 + sizes.count() // per
     sizes = kept(sizes.repartitionByRange(ranges, "file_name").withColumn("range", F.spark_partition_id()))
     totals = {r["range"]: r.m for r in sizes.groupBy("range").agg(F.sum("m").alias("m")).collect()}
@@ -156,19 +149,51 @@ def numbered(rows: DataFrame, per: int = 50_000) -> DataFrame:
         ahead += totals[r]
     chained = sizes.sparkSession.createDataFrame(chained, "range int, ahead long")
     before = W.partitionBy("range").orderBy("file_name").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.join(F.broadcast(chained), "range").select("file_name", (F.col("ahead") + F.coalesce(F.sum("m").over(before), F.lit(0))).alias("start"))
-    return rows.join(starts, "file_name").withColumn("conv_ord", (F.col("start") + F.col("file_pos")).cast("long")).drop("start")
+    start = F.col("ahead") + F.coalesce(F.sum("m").over(before), F.lit(0))
+    return sizes.join(F.broadcast(chained), "range").withColumn("start", start.cast("long")).drop("range", "ahead", "m")
+
+
+def numbered(rows: DataFrame, per: int = 50_000) -> DataFrame:
+    """rows(file_name, file_pos, …) with conv_ord: by file name, then place in the file."""
+    sizes = rows.groupBy("file_name").agg((F.max("file_pos") + 1).cast("long").alias("m"))
+    return rows.join(starts(sizes, per), "file_name").withColumn("conv_ord", (F.col("start") + F.col("file_pos")).cast("long")).drop("start")
 
 
-def elements(files: DataFrame, single: bool) -> DataFrame:
-    """(file_name, file_pos, raw) of the JSON arrays in files; `single` takes an object as an array of one."""
+def _items(single: bool):
     head = F.substring(F.regexp_replace("value", r"\A\s+", ""), 1, 1)
     many = F.from_json("value", "array<string>")
     wrong = F.raise_error(F.concat(F.lit("not an array of conversations: "), "file_name"))
     items = F.when(head == "[", many)
     if single:
         items = items.when(head == "{", F.array("value"))
-    return files.select("file_name", F.posexplode(items.otherwise(wrong.cast("array<string>"))).alias("file_pos", "raw"))
+    return items.otherwise(wrong.cast("array<string>"))
+
+
+def elements(files: DataFrame, single: bool, *columns: str) -> DataFrame:
+    """(file_name, columns, file_pos, raw) of the JSON arrays in files; `single` takes an object as an array of one."""
+    return files.select("file_name", *columns, F.posexplode(_items(single)).alias("file_pos", "raw"))
+
+
+def _without_bom(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("value", F.regexp_replace("value", r"\A\x{FEFF}", ""))
+
+
+def numbered_texts(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """(file_name, value, conv_ord) of files that hold one conversation each: their names are numbered before the texts are read, so no text is moved."""
+    if not _path(folder):
+        return numbered(whole_texts(spark, folder, suffix).withColumn("file_pos", F.lit(0)))
+    named = starts(listed(spark, folder, suffix).withColumn("m", F.lit(1)))
+    return with_contents(named, folder).select("file_name", "value", F.col("start").alias("conv_ord"))
+
+
+def numbered_elements(spark: SparkSession, folder: str, suffix: str, single: bool) -> DataFrame:
+    """(file_name, file_pos, raw, conv_ord) of the files' JSON arrays. They are read twice, to count and to take their elements, and not moved."""
+    if not _path(folder):
+        return numbered(elements(whole_texts(spark, folder, suffix, True), single))
+    texts = lambda rows: _without_bom(with_contents(rows, folder))
+    counted = texts(listed(spark, folder, suffix)).select("file_name", "share", F.coalesce(F.size(_items(single)), F.lit(0)).alias("m"))
+    rows = elements(texts(starts(counted.withColumn("m", F.greatest("m", F.lit(0))))), single, "start")
+    return rows.select("file_name", "file_pos", "raw", (F.col("start") + F.col("file_pos")).alias("conv_ord"))
 
 
 def file_sha1(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

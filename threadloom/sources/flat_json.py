@@ -36,7 +36,7 @@ def normalized(rows: DataFrame, raw: str = "raw", platform: str = "claude") -> D
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return normalized(files.numbered(files.elements(files.whole_texts(spark, folder, ".json", True), False)))
+    return normalized(files.numbered_elements(spark, folder, ".json", False))
 
 
 __all__ = ["normalized", "read", "text_of"]

@@ -107,4 +107,4 @@ def normalized(rows: DataFrame, raw: str = "raw", platform: str = "chatgpt") ->
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    return normalized(files.numbered(files.elements(files.whole_texts(spark, folder, ".json", True), True)))
+    return normalized(files.numbered_elements(spark, folder, ".json", True))
