@@ -220,3 +220,21 @@ def test_fingerprint_is_json_dumps(spark):
     assert diff.fingerprints(rows, "c").first().fingerprint == hashlib.sha1(want.encode()).hexdigest()
     nested = rows.groupBy("c").agg(F.collect_list(F.struct("index", "sender", "text", "uuid")).alias("m"))
     assert nested.select(diff.fingerprint_of(F.col("m"))).first()[0] == hashlib.sha1(want.encode()).hexdigest()
+
+
+def test_exports_read_folders_by_shares(spark, tmp_path):
+    """Scans of many files have few tasks, whole folders are counted, and conversations keep the order of their files' names."""
+    from threadloom.sources import files, sinks
+
+    n = 1_200
+    for i in range(n):
+        write(f"{tmp_path}/raw/f{n - i:04d}.json", flat((f"u{n - i:04d}", "T", "1", [("human", "q")]), (f"v{n - i:04d}", "T", "1", [])))
+    rows = registry.parse_folder(spark, "claude", f"{tmp_path}/raw")
+    assert rows.rdd.getNumPartitions() <= 4
+    got = [(r.conv_ord, r.uuid) for r in rows.select("conv_ord", "uuid").orderBy("conv_ord").collect()]
+    assert got == [(2 * i + k, f"{'uv'[k]}{i + 1:04d}") for i in range(n) for k in range(2)]
+    write(f"{tmp_path}/raw/g.json", "")
+    assert sinks.listed(spark, f"{tmp_path}/raw").count() == n + 1
+    with pytest.raises(Exception, match="not an array"):
+        registry.parse_folder(spark, "claude", f"{tmp_path}/raw").collect()
+    assert files.listed(spark, f"{tmp_path}/raw").agg(F.max("share")).first()[0] == 1

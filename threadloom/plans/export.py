@@ -35,6 +35,7 @@ def markdown(conversations: DataFrame, **options) -> DataFrame:
 def _write_parts(spark: SparkSession, docs: DataFrame, folder: str, per_part: int) -> DataFrame:
     """docs(stem, src_name, text) split into files; the whole folder is made anew."""
     split = kept(parts.split(docs, per_part, "stem"))
+    sinks.delete(sinks.listed(spark, folder), folder)
     shutil.rmtree(folder, ignore_errors=True)
     sinks.write_texts(split, folder)
     return split
