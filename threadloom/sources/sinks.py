@@ -1,6 +1,6 @@
 """Sinks for what needs a name of its own: one file a row, zip archives, a CSV table.
 
-The tasks write to a path that all executors share. A file is written beside its name and renamed, so a task that is
+The tasks write to a path that all executors share. A file is written below its folder and renamed, so a task that is
 run again leaves whole files.
 """
 
@@ -9,7 +9,10 @@ from __future__ import annotations
 import csv
 import json
 import os
+import shutil
+import tempfile
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +21,21 @@ from ..shipping import ship
 from . import files
 
 
-def _place(path: str, raw) -> None:
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
-        f.write(raw)
-    os.replace(part, path)
+@contextmanager
+def _placing(folder: str):
+    """A function (name, raw bytes) that puts a file into the folder. Tasks prepare files in folders of their own, as they would wait for each other in a shared one."""
+    aside = tempfile.mkdtemp(prefix=".part-", dir=folder)
+
+    def place(name: str, raw) -> None:
+        part = os.path.join(aside, name)
+        with open(part, "wb") as f:
+            f.write(raw)
+        os.replace(part, os.path.join(folder, name))
+
+    try:
+        yield place
+    finally:
+        shutil.rmtree(aside, ignore_errors=True)
 
 
 def write_texts(rows: DataFrame, folder: str) -> int:
@@ -33,10 +46,11 @@ def write_texts(rows: DataFrame, folder: str) -> int:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for name, text in zip(b.column(0), b.column(1)):
-                _place(os.path.join(folder, name.as_py()), text.as_buffer() or b"")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+        with _placing(folder) as place:
+            for b in batches:
+                for name, text in zip(b.column(0), b.column(1)):
+                    place(name.as_py(), text.as_buffer() or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select("file_name", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -58,10 +72,12 @@ def write_conversations(rows: DataFrame, folder: str) -> int:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for row in b.to_pylist():
-                _place(os.path.join(folder, row["file_name"]), as_json(row).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+        with _placing(folder) as place:
+            for b in batches:
+                for k in range(b.num_rows):  # one by one: as Python objects a whole batch takes many times its bytes
+                    row = b.slice(k, 1).to_pylist()[0]
+                    place(row["file_name"], as_json(row).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     return rows.select("file_name", *columns).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -82,7 +98,7 @@ def write_zips(rows: DataFrame, folder: str, compression_level: int = 6) -> list
             out.append((name, n, len(stems), os.path.getsize(path), total))
 
         for b in batches:
-            for zip_name, stem, file_name, text in zip(*(c.to_pylist() for c in b.columns)):
+            for zip_name, stem, file_name, text in (map(lambda x: x.as_py(), row) for row in zip(*b.columns)):
                 if zip_name != name:
                     if archive:
                         close()
@@ -120,7 +136,7 @@ def listed(spark, folder: str) -> DataFrame:
     """(file_name) of a folder's own files, empty ones too; none for a missing folder."""
     if not os.path.isdir(folder):
         return spark.createDataFrame([], "file_name string")
-    return files.listed(spark, folder).select("file_name")
+    return files.dealt(files.listed(spark, folder)).select("file_name")
 
 
 def delete(rows: DataFrame, folder: str) -> int:
