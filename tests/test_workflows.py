@@ -238,3 +238,33 @@ def test_exports_read_folders_by_shares(spark, tmp_path):
     with pytest.raises(Exception, match="not an array"):
         registry.parse_folder(spark, "claude", f"{tmp_path}/raw").collect()
     assert files.listed(spark, f"{tmp_path}/raw").agg(F.max("share")).first()[0] == 1
+
+
+def test_texts_are_written_from_the_batch(spark, tmp_path):
+    """A task's Python holds a batch once: no copies of its texts, which as str take four bytes a character here."""
+    from threadloom.sources import sinks
+
+    seen = []
+    rows = spark.range(0, 8, 1, 1).select(F.format_string("%d.txt", "id").alias("file_name"), F.concat(F.lit("\U0001f464"), F.repeat(F.lit("x"), 4_000_000)).alias("text"))
+    assert sinks.write_texts(rows, f"{tmp_path}/out") == 8
+
+    class Rows:
+        """Runs what a task would run, here, over one batch."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import tracemalloc
+
+            batch = rows.toArrow().combine_chunks().to_batches()[0]
+            tracemalloc.start()
+            list(run([batch]))
+            seen.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return rows.select(F.lit(8).alias("n"))
+
+    sinks.write_texts(Rows(), f"{tmp_path}/again")
+    assert sorted(os.listdir(f"{tmp_path}/again")) == [f"{i}.txt" for i in range(8)]
+    assert (tmp_path / "again/7.txt").read_bytes() == (tmp_path / "out/7.txt").read_bytes() == ("\U0001f464" + "x" * 4_000_000).encode()
+    assert seen[0] < 4_000_000
